@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, pii
+from loomgraph.llm import bpe, fingerprints, linededup, pii, spandedup
 from loomgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +18,32 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_frequent_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
+
+
+ORACLE_SQL["op2_line_dedup"] = linededup.ORACLE_SQL
+
+
 @query
 def op3_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spandedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "sentences_removed")
+
+
+@query
+def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_fingerprints(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_merkle_fingerprints"] = fingerprints.ORACLE_SQL
+
+
 @query
 def op7_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
