@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, linededup, pii, spandedup
+from loomgraph.llm import bpe, fingerprints, fixity, linededup, mixing, pii, spandedup
 from loomgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens")
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_frequent_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
@@ -44,6 +50,34 @@ def op5_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op5_merkle_fingerprints"] = fingerprints.ORACLE_SQL
 
 
+@query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica in which some records, chosen by the MD5 of their address, are damaged or lost."""
+    pages = table(spark, sf_dir, "pages")
+    mark = F.substring(F.md5("url"), 1, 2)
+    damaged = pages.withColumn("html", F.when(mark.isin("00", "7f", "c3"), F.overlay("html", F.lit("#"), F.lit(4))).otherwise(F.col("html")))
+    replica = fixity.archive(damaged).join(pages.filter(mark == "a5").select("page_id"), "page_id", "left_anti")
+    return fixity.audit(fixity.archive(pages), replica)
+
+
+ORACLE_SQL["op6_warc_fixity"] = f"""
+WITH rec AS (
+  SELECT page_id, page_id // {fixity.RECORDS_A_FILE} AS file, left(md5(url), 2) AS mark,
+    'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url
+      || '\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' AS head, html, '\r\n\r\n' AS tail
+  FROM pages
+), hashed AS (
+  SELECT page_id, file, mark, strlen(head) + strlen(html) + strlen(tail) AS length, sha256(head || html || tail) AS digest,
+    sha256(head || left(html, 3) || '#' || substr(html, 5) || tail) AS damaged FROM rec
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM hashed
+)
+SELECT file, CAST(start AS BIGINT) AS "offset", length, CASE WHEN mark = 'a5' THEN 'missing' ELSE 'corrupt' END AS kind, digest AS primary_digest,
+  CASE WHEN mark <> 'a5' THEN damaged END AS replica_digest
+FROM placed WHERE mark IN ('00', '7f', 'c3', 'a5')
+"""
+
+
 @query
 def op7_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
