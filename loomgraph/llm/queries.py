@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, fingerprints, fixity, linededup, mixing, pii, spandedup
+from loomgraph.llm import bpe, fingerprints, fixity, linededup, mixing, pii, quality, spandedup
 from loomgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ FROM placed WHERE mark IN ('00', '7f', 'c3', 'a5')
 @query
 def op7_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
