@@ -5,7 +5,8 @@ more than ``max_documents`` distinct documents are dropped everywhere, and the r
 
 Rows: blank lines are kept and never counted; NULL text stays NULL; a document left without lines has the empty text;
 rows with one doc_id count as one document, all rows without a doc_id as one more; a line many times in one document
-counts once; further columns of any name pass through.
+counts once; further columns of any name pass through, but for one called ``lines_dropped``, which is replaced; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def drop_frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) ->
     text, bad = F.col("d.row.text"), F.col("h.bad")
     kept = F.filter(_lines(text), lambda line: ~F.coalesce(F.array_contains(bad, _key(line)), F.lit(False)))
     return joined.select(
-        *[F.col(f"d.row.`{c}`").alias(c) for c in docs.columns if c != "text"],
+        *[F.col(f"d.row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "lines_dropped")],
         F.when(bad.isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.when(bad.isNull() | text.isNull(), 0).otherwise(F.size(_lines(text)) - F.size(kept)).alias("lines_dropped"),
     )

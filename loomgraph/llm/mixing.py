@@ -10,7 +10,8 @@ Tokens are runs of non-space characters unless ``tokens`` gives another count.
 
 Rows: documents without tokens (NULL or empty text) cost nothing and stay; NULL is a source like any other; ties of the
 seeded hash are broken by doc_id and a hash of the text; repeated rows are documents of their own; a source with weight 0
-or without a weight keeps only documents without tokens; further columns of any name pass through.
+or without a weight keeps only documents without tokens; further columns of any name pass through, but for one called
+``n_tokens``, which is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def plan(histogram: DataFrame, weights: Mapping[str, float] | None = None, total
         return out.astype({"source": object})
 
     limits = budgets(histogram, weights, total, smoothing).select(F.col("source").alias("of"), "budget")
-    counted = histogram.join(F.broadcast(limits), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    counted = histogram.join(limits, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     return counted.groupBy("source").applyInPandas(run, "source string, tokens long, take long")
 
 
@@ -130,7 +131,7 @@ def mix(
     The histogram and the plan have one row for each source and length. One shuffle of the rows by (source, length)
     serves the join with the plan and the ranking.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_tokens"]).alias("row")
     count = (words(F.col("text")) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long")
     counted = docs.select(row, F.col("source").alias("source"), count.alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"), F.xxhash64("text").alias("tie"))
     histogram = materialise(counted.groupBy("source", "tokens").agg(F.count("*").alias("n")), "lengths")

@@ -10,7 +10,8 @@ another by chance.
 
 Rows: NULL and empty texts come back as they are; rows equal in doc_id and text are one document (both keep or lose the
 same); rows with one doc_id but different texts are different documents, ordered by a hash of the text; NULL doc_id sorts
-first; a repeat within one document counts too; further columns of any name pass through ``remove_repeats``.
+first; a repeat within one document counts too; further columns of any name pass through ``remove_repeats``, but for one called
+``sentences_removed``, which is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ def covered_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
 def remove_repeats(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated sentences cut from ``text``, and how many (``sentences_removed``)."""
     hits = materialise(covered_sentences(docs.select("doc_id", "text"), run, min_words), "covered")
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", "sentences_removed")]
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("text_hash")).alias("d").join(
         hits.hint("shuffle_hash").alias("h"), F.col("d.row.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash")), "left"
     )
