@@ -98,9 +98,11 @@ _spelled = re.compile(rf"(?<!\w)(?:{_digit}(?!\w){_gap}|\d+{_gap}(?={_digit}(?!\
 _one = re.compile(rf"{_digit}|\d+", re.I)
 
 _bracket = re.compile(r"\s*[\[({<]\s*(at|dot|punkt|punto|point|arroba|arobase|@|\.)\s*[\])}>]\s*", re.I)
+#: Endings of an address that is written in words; with signs any letters will do.
+_TOP = r"(?:com|org|net|edu|gov|mil|int|info|biz|name|dev|app|xyz|online|site|shop|tech|cloud|[a-z]{2})"
 _AT, _DOT = r"(?:at|arroba|arobase|@)", r"(?:dot|punkt|punto|point|\.)"
 _plain = re.compile(
-    rf"(?<![\w.])[\w+-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w+-]+)*(?:[ \t]+{_AT}[ \t]+|@)[\w-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w-]+)*[ \t]+{_DOT}[ \t]+[a-z]{{2,}}(?!\w)"
+    rf"(?<![\w.])[\w+-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w+-]+)*(?:[ \t]+{_AT}[ \t]+|@)[\w-]+(?:(?:[ \t]+{_DOT}[ \t]+|\.)[\w-]+)*[ \t]+{_DOT}[ \t]+{_TOP}(?!\w)"
     rf"|(?<![\w.])[\w+-]+(?:\.[\w+-]+)*[ \t]+(?:arroba|arobase|@)[ \t]+[\w-]+(?:\.[\w-]+)*\.[a-z]{{2,}}(?!\w)",
     re.I,
 )
@@ -128,12 +130,14 @@ def undisguise(text: str) -> list[Mapped]:
         for run in _spelled.finditer(text):
             previous = None
             for m in _one.finditer(text, run.start(), run.end()):
+                word = DIGITS.get(m[0].lower())
+                grouped = word is None and len(m[0]) > 1  # figures that are written as a group stay one
                 if previous is not None:
-                    between = text[previous : m.start()].strip()
-                    edits.append((previous, m.start(), between if between in ("-", ".") else ""))
-                if m[0].lower() in DIGITS:
-                    edits.append((m.start(), m.end(), DIGITS[m[0].lower()]))
-                previous = m.end()
+                    between = text[previous[0] : m.start()].strip()
+                    edits.append((previous[0], m.start(), between if between in ("-", ".") else " " if grouped or previous[1] else ""))
+                if word is not None:
+                    edits.append((m.start(), m.end(), word))
+                previous = m.end(), grouped
     chain.append(Mapped(text, [e for e in edits if e[0] < e[1]]))
     text = chain[-1].text
     edits = []
@@ -183,7 +187,7 @@ DETECTORS = (
     ("ip", re.compile(r"\d\.\d"), re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"), None),
     ("ssn", re.compile(r"\d-\d"), re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])"), None),
     ("phone", re.compile(r"\d"), re.compile(
-        r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{10})(?!\w|-\d)"), _phone),
+        r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{7}|\d{10})(?!\w|-\d)"), _phone),
 )
 
 
