@@ -25,7 +25,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Bytes of text that are cut and looked up at once, and distinct fragments that a worker remembers.
 CHUNK_BYTES = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 ENCODED = T.StructType([
     T.StructField("tokens", T.ArrayType(T.IntegerType(), False)),

@@ -36,7 +36,7 @@ WORDS, PICKED, SKETCHES, SIMILARITY, SEED = 3, 2, 16, 0.8, 41
 _word = re.compile(r"[^\W_]+")
 _U = np.uint64
 #: Distinct words that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _known: dict[str, int] = {}
 
 
