@@ -3,9 +3,10 @@
 A text's k-mers (of lower-case words) are labelled with their occurrence number. Each of ``SKETCHES`` hash functions picks the
 ``PICKED`` smallest labelled k-mers and keeps them in text order, so two texts agree in a sketch the likelier the closer they are
 by edits, not only by content. Texts that agree in a sketch are a bucket; each member is aligned with the bucket's smallest
-node. Buckets where an alignment fails (they hold more than one group, or a passage that many texts share) are divided
-by each other sketch of their members, and every member is aligned with a leader of each part. So the work is linear in the
-rows however large a bucket gets, nothing is capped, and pairs as similar as ``SIMILARITY`` meet with a probability well above 0.9.
+node. Buckets that hold more than one group after that are compared pair by pair across the groups, in blocks, so every two
+texts of a bucket are aligned, or connected already, or have bags of words too far apart to be similar. Nothing is capped: the
+bags (``BAG`` bytes a text) make a bucket that a common passage fills cheap, but its comparisons grow with its square. Pairs as
+similar as ``SIMILARITY`` meet with a probability well above 0.9.
 
 Alignment: edit distance over words in a band as wide as the similarity allows (bit-parallel, exact inside the band).
 Similarity = 1 - distance / words of the longer text. Groups are the connected components of the aligned pairs.
@@ -21,6 +22,7 @@ import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import materialise
 
 WORDS, PICKED, SKETCHES, SIMILARITY, SEED = 3, 2, 16, 0.8, 41
+#: Counts in a bag of words; members in a block of a bucket.
+BAG, BLOCK = 128, 1024
 
 _word = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -216,6 +220,20 @@ def _aligned(a: Column, b: Column, least: float) -> Column:
     return run(a, b)
 
 
+def bag(words: bytes) -> bytes:
+    """How many words have each value of their last bits, 255 at most."""
+    counts = np.bincount(np.frombuffer(words, dtype=np.uint32) & np.uint32(BAG - 1), minlength=BAG)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _bag(words: Column) -> Column:
+    @F.arrow_udf(T.BinaryType())
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([bag(x) for x in column.to_pylist()], pa.binary())
+
+    return run(words)
+
+
 def node(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
@@ -228,6 +246,90 @@ def _verified(pairs: DataFrame, sequences: DataFrame, least: float) -> DataFrame
     return both.select("leader", "node", _aligned(F.col("x"), F.col("y"), least).alias("similarity")).filter("similarity is not null")
 
 
+def near_in_block(nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, bags: np.ndarray, left: np.ndarray, right: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``left`` and ``right`` (of ``left`` alone if None) in different groups whose words can be similar: half of
+    the difference of the bags and of the sizes is never more than the edit distance."""
+    other = left if right is None else right
+    other = other[np.argsort(sizes[other], kind="stable")]
+    left = other if right is None else left
+    ordered, against, found_a, found_b = sizes[other], bags[other], [], []
+    ends = np.searchsorted(ordered, sizes[left] / least + 1e-6, "right")
+    begins = np.arange(1, len(left) + 1) if right is None else np.searchsorted(ordered, sizes[left] * least - 1e-6, "left")
+    for x, lo, hi in zip(left.tolist(), begins.tolist(), ends.tolist()):
+        if lo < hi:
+            gap = np.abs(against[lo:hi] - bags[x]).sum(axis=1) + np.abs(ordered[lo:hi] - sizes[x])
+            near = gap <= 2 * np.floor((1 - least) * np.maximum(ordered[lo:hi], sizes[x]) + 1e-9)
+            y = other[lo:hi][near]
+            y = y[(groups[y] != groups[x]).any(axis=1)]
+            found_a.append(np.full(len(y), x))
+            found_b.append(y)
+    return (nodes[np.concatenate(found_a)], nodes[np.concatenate(found_b)]) if found_a else (nodes[:0], nodes[:0])
+
+
+def _block_pairs(least: float):
+    """Arrow batches of members, sorted by key and blocks, to the pairs of nodes worth an alignment."""
+    kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("leader", kind), ("node", kind)])
+
+    def structs(x: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x[:, 0], pa.int64()), pa.array(x[:, 1], pa.int64())], fields=list(kind))
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        col = {c: table[c].to_numpy() for c in table.column_names if c != "bag"}
+        nodes, groups = np.stack([col["na"], col["nb"]], 1), np.stack([col["ca"], col["cb"]], 1)
+        bags = np.frombuffer(b"".join(table["bag"].to_pylist()), dtype=np.uint8).reshape(-1, BAG).astype(np.int16)
+        place = np.stack([col["key"], col["i"], col["j"]], 1)
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        found = []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)]):
+            at = np.arange(lo, hi)
+            inside = col["i"][lo] == col["j"][lo]
+            mine = at if inside else at[col["block"][lo:hi] == col["i"][lo]]
+            found.append(near_in_block(nodes, groups, col["size"], bags, mine, None if inside else np.setdiff1d(at, mine), least))
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        swap = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
+        a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        both = np.unique(np.concatenate([a, b], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([structs(both[:, :2]), structs(both[:, 2:])], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            start = int(np.flatnonzero((place != place[-1]).any(axis=1))[-1] + 1) if (place != place[-1]).any() else 0
+            if held and (start or any(held[-1].column(c)[-1].as_py() != int(place[0][k]) for k, c in enumerate(("key", "i", "j")))):
+                held.append(batch.slice(0, start))
+                yield from pairs(pa.Table.from_batches(held))
+                held = []
+            elif start:
+                yield from pairs(pa.Table.from_batches([batch.slice(0, start)]))
+            held.append(batch.slice(start))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _crossing(buckets: DataFrame, labels: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """The pairs (leader, node) of one bucket that the leaders left in different groups, without those whose bags of words are
+    too far apart. A bucket is compared in pairs of blocks of about ``BLOCK`` members."""
+    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    known = sequences.select("node", "bag", F.expr("cast(octet_length(words) / 4 as int)").alias("size"))
+    members = placed.join(mixed, "key").join(known, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "node"), "blocks").cast("int"))
+    spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "size", "bag",
+        F.col("node.a").alias("na"), F.col("node.b").alias("nb"), F.col("component.a").alias("ca"), F.col("component.b").alias("cb"),
+    )
+    ranked = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = ranked.mapInArrow(_block_pairs(least), "leader struct<a:long,b:long>, node struct<a:long,b:long>").distinct()
+    tried = buckets.filter("node <> leader").select("leader", "node").distinct()
+    return pairs.join(tried, ["leader", "node"], "left_anti")
+
+
 def similar_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs of nodes (leader, node, similarity) that connect the groups."""
     texts = docs.filter("text is not null").select(node(F.col("text")).alias("node"), "text")
@@ -238,18 +340,11 @@ def similar_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     buckets = materialise(members.select("key", "node", F.min("node").over(bucket).alias("leader"), F.count("*").over(bucket).alias("n")).filter("n > 1").drop("n"), "buckets")
     candidates = buckets.select("node").distinct()
     sequences = texts.join(candidates.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sequences = materialise(sequences.select("node", _sequence(F.col("text")).alias("words")), "word-sequences")
+    sequences = sequences.select("node", _sequence(F.col("text")).alias("words")).select("node", "words", _bag(F.col("words")).alias("bag"))
+    sequences = materialise(sequences, "word-sequences")
     first = materialise(_verified(buckets.filter("node <> leader").select("leader", "node").distinct(), sequences, least), "aligned")
 
-    failed = buckets.filter("node <> leader").join(first, ["leader", "node"], "left_anti").select("key").distinct()
-    divided = buckets.join(failed, "key", "left_semi").select("key", "node")
-    others = buckets.select("node", F.col("key").alias("other"))
-    parts = divided.join(others, "node").filter("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("part"), "node").distinct()
-    part = Window.partitionBy("part")
-    led = parts.select("node", F.min(F.struct(F.xxhash64("part", "node").alias("draw"), "node")).over(part)["node"].alias("leader"))
-    pairs = led.filter("node <> leader").select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
-    pairs = pairs.join(first.select("leader", "node"), ["leader", "node"], "left_anti")
-    second = materialise(_verified(pairs, sequences, least), "aligned-parts")
+    second = materialise(_verified(_crossing(buckets, components(first), sequences, least), sequences, least), "aligned-crossing")
     return first.unionByName(second)
 
 

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomgraph.llm import fingerprints, linededup, neardup, spandedup
 
@@ -162,6 +163,18 @@ def test_near_duplicates_share_a_passage_only(docs_of):
     assert sum(group.get(100 + i) == i for i in range(20)) >= 18 and all(g in (d, d - 100) for d, g in group.items())
 
 
+def test_near_duplicates_behind_a_dissimilar_leader(docs_of, monkeypatch):
+    """With one bucket for all, as a common passage makes it, every pair is still found, whichever node leads; also in small blocks."""
+    rows = [(i, prose(60, 900 + i)) for i in range(24)] + [(100 + i, edited(prose(60, 900 + i), 0.05, i)) for i in range(24)]
+    truth = {100 + i: i for i in range(24) if neardup.similar(rows_text(rows, i), rows_text(rows, 100 + i))}
+    assert len(truth) >= 20
+    monkeypatch.setattr(neardup, "_sketches", lambda text, *_: F.array(F.lit(1).cast("long")))
+    for block in (1024, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+        group = {r.doc_id: r.group_id for r in neardup.groups(docs_of(rows)).collect()}
+        assert {d: g for d, g in group.items() if d >= 100} == truth
+
+
 def test_near_duplicates_rows(docs_of):
     text = prose(50, 3)
     rows = [(None, text), (1, text), (1, text), (2, None), (3, None), (4, ""), (5, ""), (6, "one word"), (7, "!!!")]
