@@ -1,19 +1,21 @@
 """Near duplicates by edit similarity: Order MinHash candidates, banded alignment.
 
-A text's k-mers (of lower-case words) are labelled with their occurrence number. Each of ``SKETCHES`` hash functions picks the
-``PICKED`` smallest labelled k-mers and keeps them in text order, so two texts agree in a sketch the likelier the closer they are
-by edits, not only by content. Texts that agree in a sketch are a bucket; each member is aligned with the bucket's smallest
+A text's k-mers (of ``WORDS`` lower-case words, one less below ``LONG`` words) are labelled with their occurrence number. Each of
+``SKETCHES`` hash functions picks the two smallest labelled k-mers and keeps them in text order, so two texts agree in a sketch
+the likelier the closer they are by edits, not only by content. Texts of up to ``SHORT`` words can differ by one word only: they
+meet by the text without each of its words, always. Texts that agree in a sketch are a bucket; each member is aligned with the bucket's smallest
 node. Buckets that hold more than one group after that are compared pair by pair across the groups, in blocks, so every two
 texts of a bucket are aligned, or connected already, or have bags of words too far apart to be similar. Nothing is capped: the
 bags (``BAG`` bytes a text) make a bucket that a common passage fills cheap, but its comparisons grow with its square. Pairs as
-similar as ``SIMILARITY`` meet with a probability well above 0.9.
+similar as ``SIMILARITY`` meet with a probability above 0.9 even where the edits are spread evenly: 1 - (1 - J^2)^48 with
+J = 1/4 is 0.95 for long texts.
 
 Alignment: edit distance over words in a band as wide as the similarity allows (bit-parallel, exact inside the band).
 Similarity = 1 - distance / words of the longer text. Groups are the connected components of the aligned pairs.
 
 Rows: equal texts are one node and always a group, empty ones too; a NULL text is a duplicate of nothing and stays; texts
 without words match only equal texts; of a group the row with the smallest doc_id stays (NULL first; of repeated
-rows one); texts of fewer than ``WORDS`` words are one k-mer; an empty table gives no groups; further columns pass through.
+rows one); an empty table gives no groups; further columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import materialise
 
-WORDS, PICKED, SKETCHES, SIMILARITY, SEED = 3, 2, 16, 0.8, 41
+WORDS, SKETCHES, SIMILARITY, SEED = 3, 48, 0.8, 41
+#: Words of the longest text that is keyed without each of its words (it differs by one word from any as similar as 0.8), and of
+#: the shortest with k-mers of ``WORDS`` words. Hashes that are made at once.
+SHORT, LONG, TOGETHER = 9, 60, 1 << 15
 #: Counts in a bag of words; members in a block of a bucket.
 BAG, BLOCK = 128, 1024
 
@@ -79,30 +84,51 @@ def labelled(ids: np.ndarray, words: int = WORDS) -> np.ndarray:
     return _mix(h + nth * _U(0x9E3779B97F4A7C15))
 
 
-def sketch(text: str | None, words: int = WORDS, picked: int = PICKED, sketches: int = SKETCHES, seed: int = SEED) -> list[int]:
-    """One signed 64-bit hash for each hash function, of the picked k-mers in text order; none without words."""
+def kmer_words(n: int) -> int:
+    """Words in a k-mer for two texts of which the longer has ``n`` words."""
+    return WORDS - 1 if n < LONG else WORDS
+
+
+def sketch(text: str | None, least: float = SIMILARITY, sketches: int = SKETCHES, seed: int = SEED) -> list[int]:
+    """The signed 64-bit keys under which a text meets others; none without words.
+
+    The longer of two texts decides what both are keyed by, so a text has the keys for every length that one as similar as
+    ``least`` can have: up to ``SHORT`` words, the text and (where a similar text may differ) the text without each of its
+    words; beyond, for each hash function the two smallest labelled k-mers in text order.
+    """
     ids = word_ids(text) if text else np.zeros(0, dtype=_U)
-    if not len(ids):
+    n = len(ids)
+    if not n:
         return []
-    marks = labelled(ids, words)
-    out = []
-    for salt in _salts(sketches, seed):
-        v = _mix(marks ^ salt)
-        if len(v) > picked:
-            first = int(v.argmin())
-            if picked == 2:
-                low = v[first]
-                v[first] = _U(0xFFFFFFFFFFFFFFFF)
-                second = int(v.argmin())
-                v[first] = low
-                at = [first, second] if first < second else [second, first]
-            else:
-                at = np.sort(np.argpartition(v, picked - 1)[:picked])
-            chosen = marks[at]
-        else:
-            chosen = marks
-        out.append(xxhash.xxh3_64_intdigest(chosen.tobytes(), seed=int(salt) & 0xFFFF) - (1 << 63))
-    return out
+    longest = math.floor(n / least + 1e-9)
+    keys: set[int] = set()
+    if n <= SHORT:
+        keys.add(xxhash.xxh3_64_intdigest(ids.tobytes(), seed=seed))
+        if math.floor((1 - least) * n + 1e-9):
+            keys.update(xxhash.xxh3_64_intdigest(np.delete(ids, k).tobytes(), seed=seed) for k in range(n))
+    if longest > SHORT:
+        for k in {kmer_words(max(n, SHORT + 1)), kmer_words(longest)}:
+            keys.update(_smallest(labelled(ids, k), _salts(sketches, seed + k)))
+    return [x - (1 << 63) for x in sorted(keys)]
+
+
+def _smallest(marks: np.ndarray, salts: np.ndarray) -> list[int]:
+    """For each salt a hash of the two smallest marks in their order."""
+    if len(marks) < 2:
+        return _mix(marks[0] ^ salts).tolist()
+    first, second = np.empty(len(salts), dtype=np.int64), np.empty(len(salts), dtype=np.int64)
+    step = max(1, TOGETHER // len(marks))
+    for at in range(0, len(salts), step):
+        v = marks[None, :] ^ salts[at : at + step, None]
+        v *= _U(0xBF58476D1CE4E5B9)
+        v ^= v >> _U(32)
+        v *= _U(0x94D049BB133111EB)
+        row = np.arange(len(v))
+        first[at : at + step] = low = v.argmin(axis=1)
+        v[row, low] = _U(0xFFFFFFFFFFFFFFFF)
+        second[at : at + step] = v.argmin(axis=1)
+    x, y = marks[np.minimum(first, second)], marks[np.maximum(first, second)]
+    return _mix(_mix(x * _U(31) + y) ^ salts).tolist()
 
 
 @functools.lru_cache(maxsize=8)
@@ -193,10 +219,10 @@ def similar(a: list[int], b: list[int], least: float = SIMILARITY) -> float | No
     return None if d is None else 1 - d / longer
 
 
-def _sketches(text: Column) -> Column:
+def _sketches(text: Column, least: float) -> Column:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([sketch(x.as_py()) for x in column], pa.list_(pa.int64()))
+        return pa.array([sketch(x.as_py(), least) for x in column], pa.list_(pa.int64()))
 
     return run(text)
 
@@ -333,9 +359,7 @@ def _crossing(buckets: DataFrame, labels: DataFrame, sequences: DataFrame, least
 def similar_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs of nodes (leader, node, similarity) that connect the groups."""
     texts = docs.filter("text is not null").select(node(F.col("text")).alias("node"), "text")
-    sketched = texts.select("node", F.posexplode(_sketches(F.col("text"))).alias("nth", "value"))
-    key = F.xxhash64("nth", "value").alias("key")
-    members = sketched.select(key, "node").distinct()
+    members = texts.select("node", F.explode(_sketches(F.col("text"), least)).alias("key")).repartition("key").distinct()
     bucket = Window.partitionBy("key")
     buckets = materialise(members.select("key", "node", F.min("node").over(bucket).alias("leader"), F.count("*").over(bucket).alias("n")).filter("n > 1").drop("n"), "buckets")
     candidates = buckets.select("node").distinct()

@@ -175,6 +175,32 @@ def test_near_duplicates_behind_a_dissimilar_leader(docs_of, monkeypatch):
         assert {d: g for d, g in group.items() if d >= 100} == truth
 
 
+def test_isolated_pairs_meet_at_every_length():
+    """Pairs of similarity 0.80 to 0.85, substituted evenly or at random: the share that has a key in common."""
+    for n in (5, 8, 9, 10, 14, 20, 40, 59, 60, 75, 100, 150):
+        for even in (True, False):
+            met = 0
+            for seed in range(150):
+                r = random.Random(seed)
+                a = prose(n, 3000 + seed).split()
+                most = n // 5
+                at = [(2 + n * i // most) % n for i in range(most)] if even else r.sample(range(n), most)
+                b = [f"new{i}" if i in at else w for i, w in enumerate(a)]
+                met += bool(set(neardup.sketch(" ".join(a))) & set(neardup.sketch(" ".join(b))))
+            assert met >= (150 if n < 10 else 135), (n, even, met)
+
+
+def test_isolated_pairs_of_different_lengths_meet():
+    for longer in (5, 9, 10, 11, 12, 60, 62, 70, 100):
+        met = 0
+        for seed in range(100):
+            a = prose(longer, 5000 + seed).split()
+            gone = set(random.Random(seed).sample(range(longer), longer // 5))
+            b = [w for i, w in enumerate(a) if i not in gone]
+            met += bool(set(neardup.sketch(" ".join(a))) & set(neardup.sketch(" ".join(b))))
+        assert met >= (100 if longer < 10 else 90), (longer, met)
+
+
 def test_near_duplicates_rows(docs_of):
     text = prose(50, 3)
     rows = [(None, text), (1, text), (1, text), (2, None), (3, None), (4, ""), (5, ""), (6, "one word"), (7, "!!!")]
