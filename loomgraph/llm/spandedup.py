@@ -1,11 +1,13 @@
 """Repeated passages, found as runs of consecutive sentences.
 
-A text is cut into sentences; every run of ``run`` consecutive sentences with at least ``min_words`` words is hashed; runs
-are joined on their hash over the whole corpus; the first occurrence (smallest doc_id, then position) stays and every
-sentence that a later occurrence covers is removed. Sentences end at ``. ! ?`` or a line break. One of more than
-``LONG`` words is divided at commas, semicolons and colons, and what is still longer after words picked by their hash:
-those cuts depend on the words around them alone, so a passage pasted into the middle of a sentence is cut the same
-everywhere. Case, punctuation and white space don't count. Hashes have 64 bits: of 10^12 runs about one in 10^7 meets
+A text is cut into sentences; every run of ``run`` consecutive sentences, and of as many more as it takes to have ``min_words``
+words, is hashed; runs are joined on their hash over the whole corpus; the first occurrence (smallest doc_id, then position)
+stays and every sentence that a later occurrence covers is removed. Sentences end at ``. ! ?`` or a line break. One of more
+than ``LONG`` words is divided at commas, semicolons and colons, and what is still longer after the words with the smallest hash
+of any ``WINDOW`` neighbours, so at least every ``WINDOW`` words: those cuts depend on the words around them alone, so a passage
+pasted into the middle of a sentence is cut the same everywhere. At either end at most ``LONG`` words of it are cut otherwise;
+the 27 or more that are left of over 50 are at least three sentences, so any such repeat has a run in common with the first.
+Case, punctuation and white space don't count. Hashes have 64 bits: of 10^12 runs about one in 10^7 meets
 another by chance.
 
 Rows: NULL and empty texts come back as they are; rows equal in doc_id and text are one document (both keep or lose the
@@ -28,15 +30,26 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import materialise
 
-RUN, MIN_WORDS, LONG = 3, 12, 12
+RUN, MIN_WORDS, LONG, WINDOW = 3, 12, 12, 8
 
 _word = re.compile(r"([^\W_]+)([\W_]*)")
 _end = re.compile(r"[.!?\n]")
 _pause = re.compile(r"[,;:]")
 
 
-def _is_anchor(word: str) -> bool:
-    return zlib.crc32(word.encode("utf-8")) & 7 == 0
+def _anchors(words: list[str]) -> set[int]:
+    """Places of the words with the smallest hash (the first of equal ones) of each ``WINDOW`` consecutive words."""
+    hashes = [zlib.crc32(w.encode("utf-8")) * 0x9E3779B1 & 0xFFFFFFFF for w in words]
+    found = set()
+    best = -1
+    for end in range(WINDOW - 1, len(hashes)):
+        start = end - WINDOW + 1
+        if best < start:
+            best = min(range(start, end + 1), key=hashes.__getitem__)
+        elif hashes[end] < hashes[best]:
+            best = end
+        found.add(best)
+    return found
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -60,9 +73,10 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             close(part)
             return
         piece: list[tuple[str, str]] = []
-        for pair in part:
+        anchors = _anchors([word.lower() for word, _ in part]) if by else ()
+        for k, pair in enumerate(part):
             piece.append(pair)
-            if (_pause.search(pair[1]) is not None) if by == 0 else _is_anchor(pair[0].lower()):
+            if (_pause.search(pair[1]) is not None) if by == 0 else k in anchors:
                 divide(piece, by + 1)
                 piece = []
         if piece:
@@ -79,29 +93,36 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
-def run_hashes(text: str | None, run: int, min_words: int) -> tuple[list[int], list[int]]:
-    """64-bit hashes of the runs of ``run`` sentences, and the number of each one's first sentence."""
+def runs(text: str | None, run: int, min_words: int) -> tuple[list[int], list[int], list[int]]:
+    """64-bit hashes of the runs, the number of each one's first sentence, and how many it has: ``run``, or more where those
+    have fewer than ``min_words`` words."""
     units = sentences(text) if text else []
-    hashes, at = [], []
+    hashes, at, lengths = [], [], []
     keys = [" ".join(u[2]) for u in units]
-    sizes = [len(u[2]) for u in units]
+    total = np.cumsum([0, *(len(u[2]) for u in units)])
+    ends = np.searchsorted(total, total[:-1] + min_words).tolist()
     for k in range(len(units) - run + 1):
-        if sum(sizes[k : k + run]) >= min_words:
-            hashes.append(xxhash.xxh3_64_intdigest("\n".join(keys[k : k + run])) - (1 << 63))
+        end = max(k + run, ends[k])
+        if end <= len(units):
+            hashes.append(xxhash.xxh3_64_intdigest("\n".join(keys[k:end])) - (1 << 63))
             at.append(k)
-    return hashes, at
+            lengths.append(end - k)
+    return hashes, at, lengths
+
+
+def run_hashes(text: str | None, run: int, min_words: int) -> tuple[list[int], list[int]]:
+    """64-bit hashes of the runs, and the number of each one's first sentence."""
+    return runs(text, run, min_words)[:2]
 
 
 def _runs(text: Column, run: int, min_words: int) -> Column:
-    item = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
+    item = pa.struct([("hash", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType())])))
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType())])))
     def run_udf(column: pa.Array) -> pa.Array:
-        done = [run_hashes(x.as_py(), run, min_words) for x in column]
-        offsets = pa.array(np.cumsum([0, *(len(h) for h, _ in done)]), pa.int32())
-        values = pa.StructArray.from_arrays(
-            [pa.array([x for h, _ in done for x in h], pa.int64()), pa.array([x for _, a in done for x in a], pa.int32())], fields=list(item)
-        )
+        done = [runs(x.as_py(), run, min_words) for x in column]
+        offsets = pa.array(np.cumsum([0, *(len(h) for h, _, _ in done)]), pa.int32())
+        values = pa.StructArray.from_arrays([pa.array([x for d in done for x in d[k]], f.type) for k, f in enumerate(item)], fields=list(item))
         return pa.ListArray.from_arrays(offsets, values)
 
     return run_udf(text)
@@ -131,8 +152,8 @@ def covered_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORD
     repeated = runs.withColumn("nth", F.dense_rank().over(order)).filter("nth > 1")
     return (
         repeated.groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("at").alias("starts"))
-        .select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))).alias("covered"))
+        .agg(F.collect_set(F.struct("at", "n")).alias("starts"))
+        .select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))).alias("covered"))
     )
 
 

@@ -82,6 +82,25 @@ def test_span_dedup_repeats_in_one_document_and_equal_rows(docs_of):
     assert spandedup.remove_repeats(docs_of([])).count() == 0
 
 
+def test_passages_of_51_words_share_a_run():
+    """At any word offset, with any punctuation: a passage pasted into two texts has a run in common."""
+    for seed in range(400):
+        r = random.Random(seed)
+        share = r.choice([0, 0.02, 0.05, 0.1, 0.5, 1])
+        def text(n, s, share=share, r=r):
+            return " ".join(w + (r.choice(".,!?;") if r.random() < share else "") for w in prose(n, s).split())
+        passage = text(51, 40_000 + seed)
+        a, b = (text(r.randint(0, 30), 50_000 + 2 * seed + k) + " " + passage + " " + text(r.randint(0, 30), 90_000 + 2 * seed + k) for k in (0, 1))
+        assert set(spandedup.run_hashes(a, spandedup.RUN, spandedup.MIN_WORDS)[0]) & set(spandedup.run_hashes(b, spandedup.RUN, spandedup.MIN_WORDS)[0]), (seed, share)
+
+
+def test_repeated_short_lines_are_removed(docs_of):
+    passage = "\n".join(prose(2, 800 + i) for i in range(30)) + "\n"
+    rows = [(1, passage + sentences(3, 21)), (2, sentences(3, 22) + "\n" + passage)]
+    out = {r.doc_id: r for r in spandedup.remove_repeats(docs_of(rows)).collect()}
+    assert out[1].text == rows[0][1] and out[2].sentences_removed == 30 and out[2].text.strip() == sentences(3, 22)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab c.!?\n,;é_", max_size=200))
 def test_sentences_cover_the_text_from_its_first_word(text):
