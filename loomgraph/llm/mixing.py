@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import materialise, words
 
-SEED, SMOOTHING = 17, 0.7
-#: Bits of the largest dynamic program; budgets beyond it that no smaller program met exactly keep the best sum found.
-MAX_BITS = 1 << 27
+#: ``KEEP``: the share of all weighted tokens that a mixture without a total has at least.
+SEED, SMOOTHING, KEEP = 17, 0.7, 0.9
 
 
 def _fill(items: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -87,14 +86,15 @@ def fit(lengths: Mapping[int, int], budget: int) -> dict[int, int]:
         total = best - room
         if total > sum(n * c for n, c in found.items()):
             found = {n: c for n, c in taken.items() if c}
-        if room == 0 or released == 1 or best // unit > MAX_BITS and released > 0.5:
+        if room == 0 or released == 1:
             return found
         released = min(1.0, max(0.05, released * 4))
 
 
 def budgets(histogram: DataFrame, weights: Mapping[str, float] | None, total: int | None, smoothing: float) -> DataFrame:
-    """source, budget. Without weights a source weighs its tokens to the power of ``smoothing``; without a total it is the
-    largest that every source with a weight can meet."""
+    """source, budget. Without weights a source weighs its tokens to the power of ``smoothing``. A source too short for its
+    share of ``total`` gives all it has, and the rest is spread over the others by weight. Without a total it is the largest
+    that every source with a weight can meet, but no less than ``KEEP`` of their tokens, so no small source dictates it."""
     sums = histogram.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("available"))
     if weights is None:
         weight = F.pow(F.col("available").cast("double"), F.lit(smoothing))
@@ -103,9 +103,18 @@ def budgets(histogram: DataFrame, weights: Mapping[str, float] | None, total: in
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     sums = sums.withColumn("weight", F.when(F.col("available") > 0, weight).otherwise(0.0))
-    whole = sums.agg(F.sum("weight").alias("weights"), F.min(F.when(F.col("weight") > 0, F.col("available") / F.col("weight"))).alias("rate"))
-    rate = F.col("rate") if total is None else F.lit(float(total)) / F.col("weights")
-    budget = F.floor(F.col("weight") * rate + F.lit(1e-6))
+    # by how soon a source is short: at rate r the sum of min(available, r * weight) is the least of (what the k shortest have)
+    # + r * (weights of the others) over all k, so the rate for a total is the largest of the rates for each k
+    short = Window.orderBy(F.col("available") / F.col("weight"), "source")
+    before = short.rowsBetween(Window.unboundedPreceding, -1)
+    steps = sums.filter("weight > 0").select(
+        (F.col("available") / F.col("weight")).alias("own"), "available",
+        F.coalesce(F.sum("available").over(before), F.lit(0)).alias("given"), F.sum("weight").over(short.rowsBetween(0, Window.unboundedFollowing)).alias("others"),
+    )
+    asked = F.sum("available").over(Window.partitionBy()) * F.lit(KEEP) if total is None else F.lit(float(total))
+    rates = steps.withColumn("asked", asked).agg(F.min("own").alias("least"), F.max((F.col("asked") - F.col("given")) / F.col("others")).alias("rate"))
+    whole = rates.select((F.greatest("least", "rate") if total is None else F.col("rate")).alias("rate"))
+    budget = F.floor(F.col("weight") * F.col("rate") + F.lit(1e-6))
     return sums.crossJoin(F.broadcast(whole)).select("source", F.coalesce(F.least(budget, F.col("available")), F.lit(0)).cast("long").alias("budget"))
 
 

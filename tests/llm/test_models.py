@@ -111,6 +111,23 @@ def test_mix_meets_budgets(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
 
 
+def test_a_small_source_does_not_dictate_the_total(docs_of):
+    rows = [(i, "w " * 20, "large") for i in range(400)] + [(1000 + i, "w " * 20, "middle") for i in range(100)] + [(5000, "a b c d e", "stray")]
+    by = {}
+    for x in mixing.mix(docs_of(rows)).collect():
+        by[x.source] = by.get(x.source, 0) + x.n_tokens
+    assert by["stray"] == 5 and by["middle"] == 2000 and sum(by.values()) >= 0.89 * 10_005
+    by = {}
+    for x in mixing.mix(docs_of(rows), {"large": 1, "middle": 1, "stray": 1}, 6005).collect():
+        by[x.source] = by.get(x.source, 0) + x.n_tokens
+    assert by == {"stray": 5, "middle": 2000, "large": 4000}
+
+
+def test_large_budgets_take_the_exact_last_step(monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BITS", 0, raising=False)
+    assert mixing.fit({1000: 100, 999: 100}, 99_900) == {999: 100}
+
+
 # --- quality
 
 
