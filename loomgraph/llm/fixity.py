@@ -1,8 +1,10 @@
 """Merkle fixity audit of web-archive files.
 
 A file's records, in order of their offsets, are the leaves (SHA-256 of the record's bytes). Every ``FAN_OUT`` neighbours
-hash into the node of their offset range, up to one root a file. Replicas are compared from the roots down: a level's
-nodes are joined only below parents that differ, so equal files cost one comparison.
+hash into the node of their offset range, up to one root a file. Beside its digest a leaf or node has a ``seal``, the hash of
+its first and last offset, its length and its digest or its children's seals. Replicas are compared by seals from the roots
+down: a level's nodes are joined only below parents that differ, so equal files cost one comparison, and intact records at
+other offsets or with other lengths differ too.
 
 Rows: records with a NULL file, offset or digest can't be placed and are reported apart (``unplaced``); repeated rows of one
 file and offset count once, in order of their digest; a record that only one replica has is ``missing`` or ``extra``; equal
@@ -40,23 +42,29 @@ def archive(pages: DataFrame, records_a_file: int = RECORDS_A_FILE) -> DataFrame
     return records.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest", "page_id")
 
 
+def _seal(first: Column, last: Column, length: Column, content: Column) -> Column:
+    return F.sha2(F.concat_ws("|", first.cast("string"), last.cast("string"), F.coalesce(length.cast("string"), F.lit("-")), content), 256)
+
+
 def trees(records: DataFrame, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """The levels of every file's tree, leaves first: file, node, digest, first and last offset.
+    """The levels of every file's tree, leaves first: file, node, digest, first and last offset, length, seal.
 
     Leaves are numbered in order of their offsets. The number of levels follows the largest file.
     """
     placed = records.filter("file is not null and offset is not null and digest is not null").groupBy("file", "offset").agg(F.min(F.struct("digest", "length")).alias("r"))
     order = Window.partitionBy("file").orderBy("offset")
     leaves = placed.select("file", (F.row_number().over(order) - 1).cast("long").alias("node"), F.col("r.digest").alias("digest"), F.col("offset").alias("first"), F.col("offset").alias("last"), F.col("r.length").alias("length"))
-    level = materialise(leaves, "leaves")
+    sealed = _seal(F.col("first"), F.col("last"), F.col("length"), F.col("digest")).alias("seal")
+    level = materialise(leaves.select("*", sealed), "leaves")
     levels = [level]
     largest = level.agg(F.max("node")).first()[0]
     while largest:
         up = level.groupBy("file", F.floor(F.col("node") / fan_out).alias("node")).agg(
             F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"),
-            F.min("first").alias("first"), F.max("last").alias("last"),
+            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"),
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "seal"))), lambda x: x["seal"]), "").alias("seals"),
         )
-        level = materialise(up, "ranges")
+        level = materialise(up.select("*", _seal(F.col("first"), F.col("last"), F.col("length"), F.col("seals")).alias("seal")).drop("seals"), "ranges")
         levels.append(level)
         largest //= fan_out
     return levels
@@ -74,17 +82,17 @@ def audit(primary: DataFrame, replica: DataFrame, fan_out: int = FAN_OUT) -> Dat
         b.append(b[-1])
     suspects = None
     for mine, theirs in zip(reversed(a[1:]), reversed(b[1:])):
-        mine, theirs = (x.select("file", "node", "digest") for x in (mine, theirs))
+        mine, theirs = (x.select("file", "node", "seal") for x in (mine, theirs))
         if suspects is not None:
             mine, theirs = (x.join(suspects, (x["file"] == suspects["s_file"]) & (F.floor(x["node"] / fan_out) == suspects["s_node"]), "left_semi") for x in (mine, theirs))
-        differing = mine.withColumnRenamed("digest", "mine").join(theirs.withColumnRenamed("digest", "theirs"), ["file", "node"], "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
+        differing = mine.withColumnRenamed("seal", "mine").join(theirs.withColumnRenamed("seal", "theirs"), ["file", "node"], "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
         suspects = differing.select(F.col("file").alias("s_file"), F.col("node").alias("s_node"))
     mine, theirs = a[0], b[0]
     if suspects is not None:
         mine, theirs = (x.join(suspects, (x["file"] == suspects["s_file"]) & (F.floor(x["node"] / fan_out) == suspects["s_node"]), "left_semi") for x in (mine, theirs))
-    mine = mine.select("file", F.col("first").alias("offset"), F.col("length").alias("m_length"), F.col("digest").alias("primary_digest"))
-    theirs = theirs.select("file", F.col("first").alias("offset"), F.col("length").alias("t_length"), F.col("digest").alias("replica_digest"))
-    found = mine.join(theirs, ["file", "offset"], "full_outer").filter(~F.col("primary_digest").eqNullSafe(F.col("replica_digest")))
+    mine = mine.select("file", F.col("first").alias("offset"), F.col("length").alias("m_length"), F.col("seal").alias("mine"), F.col("digest").alias("primary_digest"))
+    theirs = theirs.select("file", F.col("first").alias("offset"), F.col("length").alias("t_length"), F.col("seal").alias("theirs"), F.col("digest").alias("replica_digest"))
+    found = mine.join(theirs, ["file", "offset"], "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
     kind = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("primary_digest").isNull(), "extra").otherwise("corrupt")
     found = found.select("file", "offset", F.coalesce("m_length", "t_length").alias("length"), kind.alias("kind"), "primary_digest", "replica_digest")
     lost = [

@@ -21,6 +21,13 @@ def test_audit_locates_damage(spark):
     assert fixity.audit(a, a).count() == 0
 
 
+def test_audit_finds_shifted_records_and_other_lengths(spark):
+    a = fixity.archive(pages(spark, 40), 20)
+    shifted = a.selectExpr("file", "if(file = 1, offset + 7, offset) AS offset", "if(page_id = 3, length + 1, length) AS length", "digest", "page_id")
+    found = [(r.file, r.kind) for r in fixity.audit(a, shifted).collect()]
+    assert sorted(found) == [(0, "corrupt")] + [(1, "extra")] * 20 + [(1, "missing")] * 20
+
+
 def test_record_digests_and_offsets(spark):
     html = "é<b>"
     row = fixity.archive(spark.createDataFrame([(3, "http://u", html), (None, None, None)], PAGE)).orderBy("page_id").collect()
