@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
+    """The cluster's checkpoint folder (``spark.checkpoint.dir``). Where it is unset a local master, as in tests, gets a folder of
+    its own; a cluster raises, since its executors share no temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
     return context.getCheckpointDir()
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that this session has written; DataFrames that read them can't be used after."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgraph")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
@@ -33,6 +48,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text of which an Arrow function holds Python objects at once.
+PART_BYTES = 1 << 22
+
+_remembered: dict[str, dict] = {}
+
+
+def remembered(name: str) -> dict:
+    """What a Python worker remembers between batches for one function. A worker that goes on to another function, as in the next
+    stage of a pipeline, forgets the rest, so its memory doesn't add up."""
+    if name not in _remembered:
+        _remembered.clear()
+        _remembered[name] = {}
+    return _remembered[name]
+
+
+def in_parts(column: pa.Array, function: Callable[[pa.Array], pa.Array], kind: pa.DataType) -> pa.Array:
+    """``function`` over slices of about ``PART_BYTES`` of a column of texts, at least one text each, put together again."""
+    if not len(column):
+        return pa.array([], kind)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    done, start, base = [], 0, 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, base + PART_BYTES, "right")))
+        done.append(function(column.slice(start, stop - start)))
+        start, base = stop, int(ends[stop - 1])
+    return pa.concat_arrays(done) if len(done) > 1 else done[0]
+
+
 def words(text: Column) -> Column:
     """Number of maximal runs of non-space characters; NULL text has 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
