@@ -1,14 +1,16 @@
 """Merkle fixity audit of web-archive files.
 
-A file's records, in order of their offsets, are the leaves (SHA-256 of the record's bytes). Every ``FAN_OUT`` neighbours
-hash into the node of their offset range, up to one root a file. Beside its digest a leaf or node has a ``seal``, the hash of
-its first and last offset, its length and its digest or its children's seals. Replicas are compared by seals from the roots
-down: a level's nodes are joined only below parents that differ, so equal files cost one comparison, and intact records at
-other offsets or with other lengths differ too.
-
-Rows: records with a NULL file, offset or digest can't be placed and are reported apart (``unplaced``); repeated rows of one
-file and offset count once, in order of their digest; a record that only one replica has is ``missing`` or ``extra``; equal
-replicas, and two empty ones, give no rows; further columns are ignored.
+A file's records are the leaves (SHA-256 of the record's bytes), in order of their offsets. Each leaf has a ``seal``, the hash of its
+offset, length and digest. A node covers a fixed range of offsets, ``RANGE`` bytes at the lowest level and ``fan_out`` times as
+many a level further up, to one root a file; its seal is the hash of its children's seals in order. A record that is lost or
+moved therefore changes the nodes whose ranges hold it and no others. Replicas are compared by seals from the roots down: a
+level's nodes are looked at only below parents that differ, so equal files cost one comparison, and intact records at other
+offsets or with other lengths differ too.
+
+Rows: records with a NULL file, digest or offset, or one below 0, can't be placed and are reported apart (``unplaced``); repeated rows of one
+file and offset count once, in order of their digest; a record that only one replica has is ``missing`` or ``extra``; pages of
+any length are hashed whole, an empty or NULL one is a record with an empty body; equal replicas, and two empty ones, give no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import materialise
 
-FAN_OUT = 16
+FAN_OUT, RANGE = 16, 1 << 16
 RECORDS_A_FILE = 500
+_PLACED = "file is not null and offset >= 0 and digest is not null"
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -42,61 +45,69 @@ def archive(pages: DataFrame, records_a_file: int = RECORDS_A_FILE) -> DataFrame
     return records.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest", "page_id")
 
 
-def _seal(first: Column, last: Column, length: Column, content: Column) -> Column:
-    return F.sha2(F.concat_ws("|", first.cast("string"), last.cast("string"), F.coalesce(length.cast("string"), F.lit("-")), content), 256)
+def seals(records: DataFrame) -> DataFrame:
+    """file, offset, length, digest, seal of the records that can be placed; repeated ones count once."""
+    placed = records.filter(_PLACED).groupBy("file", "offset").agg(F.min(F.struct("digest", "length")).alias("r"))
+    content = F.concat_ws("|", F.col("offset").cast("string"), F.coalesce(F.col("r.length").cast("string"), F.lit("-")), F.col("r.digest"))
+    return placed.select("file", "offset", F.col("r.length").alias("length"), F.col("r.digest").alias("digest"), F.sha2(content, 256).alias("seal"))
 
 
-def trees(records: DataFrame, fan_out: int = FAN_OUT) -> list[DataFrame]:
-    """The levels of every file's tree, leaves first: file, node, digest, first and last offset, length, seal.
-
-    Leaves are numbered in order of their offsets. The number of levels follows the largest file.
+def trees(primary: DataFrame, replica: DataFrame, fan_out: int = FAN_OUT, range_bytes: int = RANGE) -> list[DataFrame]:
+    """The levels of both replicas' trees, leaves first. Leaves: file, at (offset), and ``mine`` and ``theirs``, structs of length,
+    digest and seal. Nodes: file, at (number of the range), and their seals ``mine`` and ``theirs``; NULL where a replica has
+    nothing there. The number of levels follows the largest offset; each is written once.
     """
-    placed = records.filter("file is not null and offset is not null and digest is not null").groupBy("file", "offset").agg(F.min(F.struct("digest", "length")).alias("r"))
-    order = Window.partitionBy("file").orderBy("offset")
-    leaves = placed.select("file", (F.row_number().over(order) - 1).cast("long").alias("node"), F.col("r.digest").alias("digest"), F.col("offset").alias("first"), F.col("offset").alias("last"), F.col("r.length").alias("length"))
-    sealed = _seal(F.col("first"), F.col("last"), F.col("length"), F.col("digest")).alias("seal")
-    level = materialise(leaves.select("*", sealed), "leaves")
-    levels = [level]
-    largest = level.agg(F.max("node")).first()[0]
-    while largest:
-        up = level.groupBy("file", F.floor(F.col("node") / fan_out).alias("node")).agg(
-            F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"),
-            F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "seal"))), lambda x: x["seal"]), "").alias("seals"),
-        )
-        level = materialise(up.select("*", _seal(F.col("first"), F.col("last"), F.col("length"), F.col("seals")).alias("seal")).drop("seals"), "ranges")
-        levels.append(level)
-        largest //= fan_out
+    sides = seals(primary).withColumn("own", F.lit(True)).unionByName(seals(replica).withColumn("own", F.lit(False)))
+    leaf = F.struct("length", "digest", "seal")
+    level = sides.groupBy("file", F.col("offset").alias("at")).agg(F.first(F.when(F.col("own"), leaf), True).alias("mine"), F.first(F.when(~F.col("own"), leaf), True).alias("theirs"))
+    levels = [materialise(level, "leaves")]
+    high = levels[0].agg(F.max("at")).first()[0]
+    width, of = range_bytes, "seal"
+    while high is not None:
+        parts = []
+        for side in ("mine", "theirs"):
+            own = F.col(f"{side}.seal") if of == "seal" else F.col(side)
+            ordered = F.array_sort(F.collect_list(F.when(own.isNotNull(), F.struct("at", own.alias("seal")))))
+            parts.append(F.when(F.size(ordered) > 0, F.sha2(F.array_join(F.transform(ordered, lambda x: x["seal"]), ""), 256)).alias(side))
+        level = levels[-1].groupBy("file", F.floor(F.col("at") / width).alias("range")).agg(*parts).withColumnRenamed("range", "at")
+        levels.append(materialise(level, "ranges"))
+        high //= width
+        width, of = fan_out, ""
+        if high == 0:
+            break
     return levels
 
 
-def audit(primary: DataFrame, replica: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """Where the replicas differ: file, offset, length, kind (corrupt, missing, extra, unplaced), primary and replica digest.
-
-    Records are compared by offset inside the lowest ranges that differ; the path down narrows by ``fan_out`` a level.
-    """
-    a, b = trees(primary, fan_out), trees(replica, fan_out)
-    while len(a) < len(b):
-        a.append(a[-1])
-    while len(b) < len(a):
-        b.append(b[-1])
-    suspects = None
-    for mine, theirs in zip(reversed(a[1:]), reversed(b[1:])):
-        mine, theirs = (x.select("file", "node", "seal") for x in (mine, theirs))
-        if suspects is not None:
-            mine, theirs = (x.join(suspects, (x["file"] == suspects["s_file"]) & (F.floor(x["node"] / fan_out) == suspects["s_node"]), "left_semi") for x in (mine, theirs))
-        differing = mine.withColumnRenamed("seal", "mine").join(theirs.withColumnRenamed("seal", "theirs"), ["file", "node"], "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
-        suspects = differing.select(F.col("file").alias("s_file"), F.col("node").alias("s_node"))
-    mine, theirs = a[0], b[0]
-    if suspects is not None:
-        mine, theirs = (x.join(suspects, (x["file"] == suspects["s_file"]) & (F.floor(x["node"] / fan_out) == suspects["s_node"]), "left_semi") for x in (mine, theirs))
-    mine = mine.select("file", F.col("first").alias("offset"), F.col("length").alias("m_length"), F.col("seal").alias("mine"), F.col("digest").alias("primary_digest"))
-    theirs = theirs.select("file", F.col("first").alias("offset"), F.col("length").alias("t_length"), F.col("seal").alias("theirs"), F.col("digest").alias("replica_digest"))
-    found = mine.join(theirs, ["file", "offset"], "full_outer").filter(~F.col("mine").eqNullSafe(F.col("theirs")))
-    kind = F.when(F.col("replica_digest").isNull(), "missing").when(F.col("primary_digest").isNull(), "extra").otherwise("corrupt")
-    found = found.select("file", "offset", F.coalesce("m_length", "t_length").alias("length"), kind.alias("kind"), "primary_digest", "replica_digest")
+def descend(levels: list[DataFrame], fan_out: int = FAN_OUT, range_bytes: int = RANGE) -> list[DataFrame]:
+    """What differs on each level, roots first, leaves last: only rows below nodes that differ are compared."""
+    found: list[DataFrame] = []
+    for k in range(len(levels) - 1, -1, -1):
+        level = levels[k]
+        if found:
+            above = found[-1].select(F.col("file").alias("a_file"), F.col("at").alias("a_at"))
+            level = level.join(above, (F.col("file") == F.col("a_file")) & (F.floor(F.col("at") / (fan_out if k else range_bytes)) == F.col("a_at")), "left_semi")
+        found.append(level.filter(~F.col("mine").eqNullSafe(F.col("theirs"))))
+    return found
+
+
+def audit(primary: DataFrame, replica: DataFrame, fan_out: int = FAN_OUT, range_bytes: int = RANGE) -> DataFrame:
+    """Where the replicas differ: file, offset, length, kind (corrupt, missing, extra, unplaced), primary and replica digest, and the
+    file's primary and replica root (NULL where a replica lacks the file, and of unplaced records)."""
+    levels = trees(primary, replica, fan_out, range_bytes)
+    roots = levels[-1].filter("at = 0").select(F.col("file").alias("r_file"), F.col("mine").alias("primary_root"), F.col("theirs").alias("replica_root")) if len(levels) > 1 else None
+    differing = descend(levels, fan_out, range_bytes)[-1]
+    kind = F.when(F.col("theirs").isNull(), "missing").when(F.col("mine").isNull(), "extra").otherwise("corrupt")
+    columns = ["file", F.col("at").alias("offset"), F.coalesce("mine.length", "theirs.length").alias("length"), kind.alias("kind"), F.col("mine.digest").alias("primary_digest"), F.col("theirs.digest").alias("replica_digest")]
+    if roots is None:
+        found = differing.select(*columns, F.lit(None).cast("string").alias("primary_root"), F.lit(None).cast("string").alias("replica_root"))
+    else:
+        found = differing.join(roots, F.col("file") == F.col("r_file")).select(*columns, "primary_root", "replica_root")
+    none = F.lit(None).cast("string")
     lost = [
-        x.filter("file is null or offset is null or digest is null").select("file", "offset", "length", F.lit("unplaced").alias("kind"), (F.col("digest") if own else F.lit(None).cast("string")).alias("primary_digest"), (F.lit(None).cast("string") if own else F.col("digest")).alias("replica_digest"))
+        x.filter(f"not coalesce({_PLACED}, false)").select(
+            "file", "offset", "length", F.lit("unplaced").alias("kind"), (F.col("digest") if own else none).alias("primary_digest"), (none if own else F.col("digest")).alias("replica_digest"),
+            none.alias("primary_root"), none.alias("replica_root"),
+        )
         for own, x in ((True, primary), (False, replica))
     ]
     return found.unionByName(lost[0]).unionByName(lost[1])

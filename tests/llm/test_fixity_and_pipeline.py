@@ -45,11 +45,33 @@ def test_audit_rows(spark):
 
 
 def test_root_is_the_hash_of_ordered_children(spark):
-    levels = fixity.trees(fixity.archive(pages(spark, 20), 100), 16)
-    leaves = [r.digest for r in levels[0].orderBy("node").collect()]
-    nodes = [hashlib.sha256("".join(part).encode()).hexdigest() for part in (leaves[:16], leaves[16:])]
-    assert [r.digest for r in levels[1].orderBy("node").collect()] == nodes
-    assert levels[-1].first().digest == hashlib.sha256("".join(nodes).encode()).hexdigest()
+    a = fixity.archive(pages(spark, 20), 100)
+    levels = fixity.trees(a, a, 4, 1024)
+    seal = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    below = {r.offset: seal(f"{r.offset}|{r.length}|{r.digest}") for r in a.collect()}
+    assert {r["at"]: r.mine.seal for r in levels[0].collect()} == below
+    for width, level in zip([1024, 4, 4, 4], levels[1:]):
+        up = {}
+        for at in sorted(below):
+            up[at // width] = up.get(at // width, "") + below[at]
+        below = {at: seal(x) for at, x in up.items()}
+        assert {r["at"]: r.mine for r in level.collect()} == below and level.filter("mine <> theirs").count() == 0
+    assert len(below) == 1
+
+
+def test_equal_digests_at_other_offsets(spark):
+    schema = "file long, offset long, length long, digest string"
+    a = spark.createDataFrame([(1, 0, 9, "d"), (1, 10, 9, "d"), (1, 20, 9, "d")], schema)
+    b = spark.createDataFrame([(1, 0, 9, "d"), (1, 10, 9, "d"), (1, 30, 9, "d")], schema)
+    assert sorted((r.offset, r.kind) for r in fixity.audit(a, b).collect()) == [(20, "missing"), (30, "extra")]
+
+
+def test_a_lost_record_opens_its_own_branch_only(spark):
+    a = fixity.archive(pages(spark, 256), 1000)
+    lost = a.filter("page_id <> 9")
+    levels = fixity.trees(a, lost, 4, 1024)
+    opened = [x.count() for x in fixity.descend(levels, 4, 1024)]
+    assert levels[1].count() > 30 and opened == [1] * len(levels)
 
 
 def test_stages_equal_the_operators_one_by_one(spark):
