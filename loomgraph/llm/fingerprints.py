@@ -7,7 +7,9 @@ Hashes are the first 32 hexadecimal digits of SHA-256, with another prefix for e
 paragraphs and sections; where roots differ, only sections that differ are opened to find the edited paragraphs.
 
 Rows: a NULL text has a NULL fingerprint and equals nothing; an empty or blank one has no sections and the root of the
-empty list; repeated rows have equal fingerprints; further columns of any name pass through ``fingerprint``.
+empty list; repeated rows have equal fingerprints; very long texts are read whole, and compared in time linear in their
+paragraphs; rows without a doc_id have a root, but are nobody's base and have none; rows that share a doc_id are compared each by
+its own text, never with each other; further columns of any name pass through ``fingerprint``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,28 +70,39 @@ def fingerprint(text: Column) -> Column:
     return run(text)
 
 
+def edited(own: dict, base: dict) -> list[int]:
+    """Numbers of the paragraphs of ``own`` that lie in sections ``base`` lacks and whose hash no opened section of ``base`` has:
+    the sections that both trees have aren't opened. Linear in the paragraphs of both."""
+    here, there = set(own["sections"]), set(base["sections"])
+    leaves = {p for p, s in zip(base["paragraphs"], base["section_of"]) if base["sections"][s] not in here}
+    return [i for i, (p, s) in enumerate(zip(own["paragraphs"], own["section_of"])) if own["sections"][s] not in there and p not in leaves]
+
+
 def edited_paragraphs(fp: Column, base: Column) -> Column:
-    """Numbers of the paragraphs of ``fp`` that lie in sections ``base`` lacks and whose hash no opened section of ``base`` has."""
-    open_base = F.filter(F.arrays_zip(base["paragraphs"].alias("p"), base["section_of"].alias("s")), lambda x: ~F.array_contains(fp["sections"], F.get(base["sections"], x["s"])))
-    leaves = F.transform(open_base, lambda x: x["p"])
-    numbered = F.transform(F.arrays_zip(fp["paragraphs"].alias("p"), fp["section_of"].alias("s")), lambda x, i: F.struct(x["p"].alias("p"), x["s"].alias("s"), i.alias("i")))
-    return F.transform(
-        F.filter(numbered, lambda x: ~F.array_contains(base["sections"], F.get(fp["sections"], x["s"])) & ~F.array_contains(leaves, x["p"])), lambda x: x["i"]
-    )
+    """array<int> of ``edited``; NULL where a fingerprint is."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
+    def run(own: pa.Array, other: pa.Array) -> pa.Array:
+        return pa.array([edited(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(own, other)], pa.list_(pa.int32()))
+
+    return run(fp, base)
 
 
 def compare_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, root, sections, paragraphs of every row; equal_to, base, edited.
 
-    equal_to: the smallest other doc_id with this root, if smaller than doc_id. base: of the documents with another root
-    that are the first to hold one of this document's sections, the one that holds most of them first (ties: smallest
-    doc_id); edited: the numbers of the paragraphs that differ from it. NULL where there is no base.
+    equal_to: the smallest other doc_id with this root, if smaller than doc_id. base: of the documents with another root that
+    are the first to hold one of this document's distinct sections or paragraphs, the one that holds most of them first (ties:
+    smallest doc_id); edited: the numbers of the paragraphs that differ from it. NULL where there is no base. A paragraph that
+    many documents share has one first holder like any other, so pairs stay linear in the paragraphs.
     """
     prints = materialise(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     owner = prints.groupBy("fp.root").agg(F.min("doc_id").alias("first"))
-    parts = prints.filter("doc_id is not null").select("doc_id", F.col("fp.root").alias("root"), F.explode(F.array_distinct("fp.sections")).alias("section"))
-    holders = parts.groupBy("section").agg(F.min_by(F.struct("doc_id", "root"), F.struct("doc_id", "root")).alias("holder"))
-    shared = parts.join(holders, "section").filter("holder.doc_id < doc_id and holder.root <> root").groupBy("doc_id", F.col("root"), F.col("holder.doc_id").alias("base"), F.col("holder.root").alias("base_root")).agg(F.count("*").alias("n"))
+    parts = prints.filter("doc_id is not null").select(
+        "doc_id", F.col("fp.root").alias("root"), F.explode(F.array_distinct(F.transform(F.concat("fp.sections", "fp.paragraphs"), lambda h: F.xxhash64(h)))).alias("part")
+    )
+    holders = parts.groupBy("part").agg(F.min(F.struct("doc_id", "root")).alias("holder"))
+    shared = parts.join(holders, "part").filter("holder.doc_id < doc_id and holder.root <> root").groupBy("doc_id", F.col("root"), F.col("holder.doc_id").alias("base"), F.col("holder.root").alias("base_root")).agg(F.count("*").alias("n"))
     best = shared.groupBy("doc_id", "root").agg(F.min_by(F.struct("base", "base_root"), F.struct((-F.col("n")).alias("n"), F.col("base"), F.col("base_root"))).alias("b"))
     one = prints.filter("doc_id is not null").groupBy("doc_id", F.col("fp.root").alias("root")).agg(F.first("fp").alias("fp"))
     pairs = best.join(one.withColumnRenamed("fp", "own"), ["doc_id", "root"])
@@ -120,10 +133,11 @@ WITH lines AS (
     (SELECT count(*) FROM leaves l WHERE l.doc_id = d.doc_id) AS paragraphs
   FROM documents d LEFT JOIN secs s USING (doc_id) GROUP BY d.doc_id
 ), owner AS (SELECT root, min(doc_id) AS first FROM roots GROUP BY root),
-holders AS (SELECT section, min(doc_id) AS holder FROM secs GROUP BY section),
+parts AS (SELECT doc_id, section AS part FROM secs UNION SELECT doc_id, leaf FROM leaves),
+holders AS (SELECT part, min(doc_id) AS holder FROM parts GROUP BY part),
 shared AS (
-  SELECT s.doc_id, h.holder, count(DISTINCT s.section) AS n
-  FROM secs s JOIN holders h USING (section) JOIN roots a ON a.doc_id = s.doc_id JOIN roots b ON b.doc_id = h.holder
+  SELECT s.doc_id, h.holder, count(*) AS n
+  FROM parts s JOIN holders h USING (part) JOIN roots a ON a.doc_id = s.doc_id JOIN roots b ON b.doc_id = h.holder
   WHERE h.holder < s.doc_id AND a.root <> b.root GROUP BY 1, 2
 ), best AS (
   SELECT doc_id, holder AS base FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, holder) AS k FROM shared) WHERE k = 1
