@@ -9,7 +9,7 @@ everything and its sum is the best there is. Within each length the documents wi
 Tokens are runs of non-space characters unless ``tokens`` gives another count.
 
 Rows: documents without tokens (NULL or empty text) cost nothing and stay; NULL is a source like any other; ties of the
-seeded hash are broken by doc_id and a hash of the text; repeated rows are documents of their own; a source with weight 0
+seeded hash are broken by doc_id and a hash of the text; repeated rows are documents of their own; very long texts are one length each; a source with weight 0
 or without a weight keeps only documents without tokens; further columns of any name pass through, but for one called
 ``n_tokens``, which is replaced; an empty table gives an empty table.
 """
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import materialise, words
 
 #: ``KEEP``: the share of all weighted tokens that a mixture without a total has at least.
-SEED, SMOOTHING, KEEP = 17, 0.7, 0.9
+#: ``BINS``: ranges of the seeded hashes, a power of two.
+SEED, SMOOTHING, KEEP, BINS = 17, 0.7, 0.9, 4096
 
 
 def _fill(items: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -132,26 +133,47 @@ def plan(histogram: DataFrame, weights: Mapping[str, float] | None = None, total
     return counted.groupBy("source").applyInPandas(run, "source string, tokens long, take long")
 
 
+def _edges(measured: DataFrame, takes: DataFrame) -> DataFrame:
+    """source, tokens, edge, ties, of_them: the last (draw, doc_id, tie) that each partly taken length takes, how many rows have
+    it, and how many of those are taken. The rows of a length are counted in ``BINS`` ranges of their draws, so only those in the
+    range with the edge are ranked, and a hot length isn't sorted in one task."""
+    on = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("tokens") == F.col("p_tokens"))
+    rows = measured.join(takes.filter("take < n").drop("n"), on).withColumn("bin", F.shiftright("draw", 64 - BINS.bit_length() + 1))
+    counted = rows.groupBy("source", "tokens", "take", "bin").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("source", "tokens").orderBy("bin"))
+    edge = counted.withColumn("upto", upto).filter("upto >= take and upto - c < take")
+    edge = edge.select(F.col("source").alias("e_source"), F.col("tokens").alias("e_tokens"), F.col("bin").alias("e_bin"), (F.col("take") - F.col("upto") + F.col("c")).alias("left"))
+    near = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("tokens") == F.col("e_tokens")) & (F.col("bin") == F.col("e_bin")))
+    near = near.groupBy("source", "tokens", "left", F.struct("draw", "doc_id", "tie").alias("edge")).agg(F.count("*").alias("ties"))
+    near = near.withColumn("upto", F.sum("ties").over(Window.partitionBy("source", "tokens").orderBy("edge")))
+    return near.filter("upto >= left and upto - ties < left").select("source", "tokens", "edge", "ties", (F.col("left") - F.col("upto") + F.col("ties")).alias("of_them"))
+
+
 def mix(
     docs: DataFrame, weights: Mapping[str, float] | None = None, total: int | None = None, *, smoothing: float = SMOOTHING, seed: int = SEED, tokens: Column | None = None
 ) -> DataFrame:
     """The selected rows of ``docs``, with their token count (``n_tokens``).
 
-    The histogram and the plan have one row for each source and length. One shuffle of the rows by (source, length)
-    serves the join with the plan and the ranking.
+    Counts and draws are written once without the texts; histogram, plan and edges come from there, with one row for each source
+    and length. The rows themselves meet that table in one join, broadcast below the session's threshold, and aren't ranked.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_tokens"]).alias("row")
-    count = (words(F.col("text")) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long")
-    counted = docs.select(row, F.col("source").alias("source"), count.alias("tokens"), F.xxhash64(F.lit(seed), "doc_id").alias("draw"), F.xxhash64("text").alias("tie"))
-    histogram = materialise(counted.groupBy("source", "tokens").agg(F.count("*").alias("n")), "lengths")
-    takes = materialise(plan(histogram, weights, total, smoothing), "mixture").select(F.col("source").alias("p_source"), F.col("tokens").alias("p_tokens"), "take")
-    order = Window.partitionBy("source", "tokens").orderBy("draw", "row.doc_id", "tie")
-    chosen = (
-        counted.filter("tokens > 0")
-        .join(takes, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("tokens") == F.col("p_tokens")))
-        .withColumn("nth", F.row_number().over(order))
-        .filter("nth <= take")
-        .select("row", "tokens")
-    )
-    free = counted.filter("tokens = 0").select("row", "tokens")
+    count = (words(F.col("text")) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("tokens")
+    keys = [F.col("source"), count, F.xxhash64(F.lit(seed), "doc_id").alias("draw"), F.col("doc_id"), F.xxhash64("text").alias("tie")]
+    measured = materialise(docs.select(*keys), "token-counts").filter("tokens > 0")
+    histogram = materialise(measured.groupBy("source", "tokens").agg(F.count("*").alias("n")), "lengths")
+    planned = plan(histogram, weights, total, smoothing).select(F.col("source").alias("p_source"), F.col("tokens").alias("p_tokens"), "take")
+    takes = materialise(planned.join(histogram, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("tokens") == F.col("p_tokens"))).select("p_source", "p_tokens", "take", "n"), "mixture")
+    edges = _edges(measured, takes).select(F.col("source").alias("e_source"), F.col("tokens").alias("e_tokens"), "edge", "ties", "of_them")
+    cells = takes.join(edges, F.col("p_source").eqNullSafe(F.col("e_source")) & (F.col("p_tokens") == F.col("e_tokens")), "left").select("p_source", "p_tokens", "edge", "ties", "of_them")
+    cells = materialise(cells, "length-edges")
+    rows = docs.select(row, *keys)
+    met = rows.filter("tokens > 0").join(cells, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("tokens") == F.col("p_tokens")))
+    met = met.withColumn("own", F.struct("draw", "doc_id", "tie"))
+    chosen = met.filter(F.col("edge").isNull() | (F.col("own") < F.col("edge")) | (F.col("own") == F.col("edge")) & (F.col("of_them") == F.col("ties"))).select("row", "tokens")
+    if not cells.filter("of_them < ties").isEmpty():  # repeated rows at an edge: any of them serve
+        tied = met.filter((F.col("own") == F.col("edge")) & (F.col("of_them") < F.col("ties")))
+        nth = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("own"))
+        chosen = chosen.unionByName(tied.withColumn("nth", nth).filter("nth <= of_them").select("row", "tokens"))
+    free = rows.filter("tokens = 0").select("row", "tokens")
     return chosen.unionByName(free).select("row.*", F.col("tokens").alias("n_tokens"))
