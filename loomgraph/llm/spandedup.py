@@ -12,7 +12,7 @@ another by chance.
 
 Rows: NULL and empty texts come back as they are; rows equal in doc_id and text are one document (both keep or lose the
 same); rows with one doc_id but different texts are different documents, ordered by a hash of the text; NULL doc_id sorts
-first; a repeat within one document counts too; further columns of any name pass through ``remove_repeats``, but for one called
+first; a repeat within one document counts too; texts of any length are cut whole; further columns of any name pass through ``remove_repeats``, but for one called
 ``sentences_removed``, which is replaced; an empty table gives an empty table.
 """
 
@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,12 +146,19 @@ def _without(text: Column, covered: Column) -> Column:
 
 
 def covered_sentences(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_hash, covered: numbers of the sentences in runs that occurred before. Only documents with any."""
-    runs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(_runs(F.col("text"), run, min_words)))
-    order = Window.partitionBy("hash").orderBy("doc_id", "text_hash", "at")
-    repeated = runs.withColumn("nth", F.dense_rank().over(order)).filter("nth > 1")
+    """doc_id, text_hash, covered: numbers of the sentences in runs that occurred before. Only documents with any.
+
+    The runs are written and counted by hash, which combines before the shuffle; only those of repeated hashes are looked at
+    again, and the smallest of each hash combines before the shuffle too, so a run in a third of all documents is no single task.
+    """
+    found = materialise(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.inline(_runs(F.col("text"), run, min_words))), "runs")
+    hot = materialise(found.groupBy("hash").count().filter("count > 1").select("hash"), "repeated-hashes")
+    repeated = materialise(found.join(hot, "hash", "left_semi"), "repeated-runs")
+    place = F.struct("doc_id", "text_hash", "at")
+    first = repeated.groupBy("hash").agg(F.min(place).alias("first")).withColumnRenamed("hash", "f_hash")
+    later = repeated.join(first, repeated["hash"] == first["f_hash"]).filter(~place.eqNullSafe(F.col("first")))
     return (
-        repeated.groupBy("doc_id", "text_hash")
+        later.groupBy("doc_id", "text_hash")
         .agg(F.collect_set(F.struct("at", "n")).alias("starts"))
         .select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1)))).alias("covered"))
     )
