@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: checkpoint where the session has a folder for it, else keep the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+from loomgraph.sources.shared import materialise
 
 
 def find_entities(entities: DataFrame, tenant_id: str, *, normalized_name: str | None = None, entity_type: str | None = None, after: str | None = None, limit: int | None = None) -> DataFrame:

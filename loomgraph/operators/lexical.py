@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import tokens
+from loomgraph.sources.shared import materialise
 
 K1, B = 1.2, 0.75
 
@@ -52,17 +53,19 @@ def _is(term: str) -> Callable[[Column], Column]:
     return lambda word: word == term
 
 
-def rank(chunks: DataFrame, terms: list[str], k: int | None, candidates: int | None = None) -> DataFrame:
+def rank(chunks: DataFrame, terms: list[str], k: int | None, candidates: int | None = None, *, exact: bool = False) -> DataFrame:
     """tenant_id, id, score of the best passages; only positive scores, ties by id.
 
-    One pass over the texts yields lengths and the frequencies of the few asked terms; corpus statistics cover the whole
-    tenant; ``candidates`` cuts by (distinct matched terms, id) before scoring. Nothing is shuffled but the matches.
+    One pass over the texts yields lengths and the frequencies of the few asked terms, which are written; corpus statistics cover
+    the whole tenant; ``candidates`` cuts by (distinct matched terms, id) before scoring. Nothing is shuffled but the matches.
+    Where the terms are stored already, ``rank_indexed`` reads no text.
     """
     asked = sorted(set(terms))
-    words = tokens(F.col("text"))
-    counted = chunks.select("tenant_id", "id", words.alias("words")).select(
-        "tenant_id", "id", F.size("words").alias("length"), *[F.size(F.filter("words", _is(t))).alias(f"tf{j}") for j, t in enumerate(asked)]
-    )
+    words = tokens(F.col("text"), exact=exact)
+    counts = chunks.select("tenant_id", "id", F.array(words).alias("w")).select("tenant_id", "id", F.inline(F.transform("w", lambda w: F.struct(
+        F.size(w).alias("length"), *[F.size(F.filter(w, _is(t))).alias(f"tf{j}") for j, t in enumerate(asked)]
+    ))))
+    counted = materialise(counts, "term-counts")
     stats = counted.groupBy("tenant_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"), *[F.sum((F.col(f"tf{j}") > 0).cast("long")).alias(f"df{j}") for j in range(len(asked))])
     matched = sum(((F.col(f"tf{j}") > 0).cast("int") for j in range(len(asked))), F.lit(0))
     hits = counted.withColumn("matched", matched).filter("matched > 0")
@@ -72,3 +75,18 @@ def rank(chunks: DataFrame, terms: list[str], k: int | None, candidates: int | N
     score = sum((F.when(F.col(f"tf{j}") > 0, bm25(F.col(f"tf{j}"), F.col(f"df{j}"), F.col("n"), F.col("length"), F.col("average"))).otherwise(0.0) for j in range(len(asked))), F.lit(0.0))
     ranked = scored.select("tenant_id", "id", "matched", score.alias("score")).filter("score > 0")
     return ranked if k is None else ranked.orderBy(F.desc("score"), "id").limit(k)
+
+
+def rank_indexed(terms: DataFrame, lengths: DataFrame, asked: list[str], k: int | None, candidates: int | None = None) -> DataFrame:
+    """The ranking of ``rank`` from a written index: ``terms`` (tenant_id, term, id, tf, doc_length), sorted or partitioned by term,
+    and ``lengths`` (tenant_id, id, doc_length). Reads the asked terms' rows; only matches are shuffled."""
+    hits = terms.filter(F.col("term").isin(sorted(set(asked))))
+    stats = lengths.groupBy("tenant_id").agg(F.count("*").alias("n"), F.avg("doc_length").alias("average"))
+    df = hits.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
+    found = hits.join(df, ["tenant_id", "term"]).join(stats, "tenant_id")
+    share = bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("doc_length"), F.col("average"))
+    ranked = found.groupBy("tenant_id", "id").agg(F.count("*").alias("matched"), F.sum(share).alias("score"))
+    if candidates is not None:
+        ranked = ranked.orderBy(F.desc("matched"), "id").limit(candidates)
+    ranked = ranked.filter("score > 0")
+    return ranked if k is None else ranked.orderBy(F.desc("score"), "id").limit(k)

@@ -2,46 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, similarity, temporal, text, vectors
 from loomgraph.operators import chunkers, communities, evaluate, extraction, graph, intervals, lexical, merge, resolve, search
+from loomgraph.plans import recursive_sql
+from loomgraph.plans.registry import STAMP, query, r6, stamp
 from loomgraph.sources import domains, store, structured
 from loomgraph.sources.tables import EDGE_SQL, ENTITY_SQL, TENANT, aliases, edges, entities, part_names, table
 from loomgraph.streaming import events as log_events
 from loomgraph.streaming import limits
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 TERMS = ["erble", "nicht", "thing", "thatin"]
 VECTOR = [(i % 7 - 3) / 16 for i in range(64)]
 PART_QUERY = "small ring"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
-def stamp(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-
-
-_STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 _TOKENS = r"list_filter(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+'), lambda t: t NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "))"
 _TERM_LIST = ", ".join(f"('{t}')" for t in TERMS)
 _VECTOR = "[" + ", ".join(str(x) for x in VECTOR) + "]::DOUBLE[]"
@@ -119,17 +96,17 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("lang").alias("tenant_id"), F.col("doc_id").cast("string").alias("source_id"), "text")
 
 
-@query()
+@query(recursive_sql.CHUNK_SLIDING)
 def chunk_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunks(_sources(spark, sf_dir)).drop("text")
 
 
-@query()
+@query(recursive_sql.CHUNK_BOUNDARY)
 def chunk_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunks(_sources(spark, sf_dir), chunkers.preferring).drop("text")
 
 
-@query()
+@query(recursive_sql.CHUNKING_DIGESTS)
 def chunking_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunking_digest(chunkers.chunks(_sources(spark, sf_dir)))
 
@@ -435,7 +412,7 @@ _RELATE = """CASE WHEN {0}.lo IS NOT DISTINCT FROM {1}.lo AND {0}.up IS NOT DIST
   WHEN ({0}.lo IS NULL OR coalesce({0}.lo <= {1}.lo, false)) AND ({0}.up IS NULL OR coalesce({1}.up <= {0}.up, false)) THEN 'contains' ELSE 'overlaps' END"""
 
 
-@query(f"WITH {_BOUNDS_SQL} SELECT id, strftime(lo, {_STAMP}) AS lower, strftime(up, {_STAMP}) AS upper FROM b")
+@query(f"WITH {_BOUNDS_SQL} SELECT id, strftime(lo, {STAMP}) AS lower, strftime(up, {STAMP}) AS upper FROM b")
 def temporal_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extents(spark, sf_dir).select("id", stamp(F.col("bounds.lower")).alias("lower"), stamp(F.col("bounds.upper")).alias("upper"))
 
@@ -464,7 +441,7 @@ def temporal_relation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q FROM orders),
 p AS (SELECT *, CASE k WHEN 1 THEN make_timestamp(y, q * 3 - 2, 1, 0, 0, 0) WHEN 3 THEN make_timestamp(y // 10 * 10, 1, 1, 0, 0, 0) WHEN 4 THEN make_timestamp(1934, 1, 1, 0, 0, 0) ELSE make_timestamp(y, 1, 1, 0, 0, 0) END AS s,
   CASE k WHEN 2 THEN make_timestamp(y + 1, 1, 1, 0, 0, 0) WHEN 3 THEN make_timestamp(y // 10 * 10 + 9, 1, 1, 0, 0, 0) WHEN 4 THEN make_timestamp(1966, 1, 1, 0, 0, 0) END AS e FROM t)
-SELECT id, strftime(s, {_STAMP}) AS "start", strftime(e, {_STAMP}) AS "end", CASE k WHEN 1 THEN 'month' ELSE 'year' END AS "precision",
+SELECT id, strftime(s, {STAMP}) AS "start", strftime(e, {STAMP}) AS "end", CASE k WHEN 1 THEN 'month' ELSE 'year' END AS "precision",
   CASE k WHEN 0 THEN 'circa' WHEN 3 THEN 'before' WHEN 4 THEN 'approximate' ELSE 'exact' END AS uncertainty FROM p""")
 def parse_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.year("o_orderdate").cast("string")
@@ -535,19 +512,20 @@ def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.gaps(table(spark, sf_dir, "events"), "value")
 
 
-@query(f"""SELECT event_id, count(*) OVER w AS hits, strftime(min(ts) OVER w, {_STAMP}) AS oldest, greatest(0, 3 - count(*) OVER w) AS remaining
+@query(f"""SELECT event_id, count(*) OVER w AS hits, strftime(min(ts) OVER w, {STAMP}) AS oldest, greatest(0, 3 - count(*) OVER w) AS remaining
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW)""")
 def rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id")
     return limits.trailing_hits(hits, 3600, 3).select("event_id", "hits", stamp(F.col("oldest")).alias("oldest"), "remaining")
 
 
-@query()
+@query(recursive_sql.RATE_ADMISSIONS)
 def rate_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limits.admissions(table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id"), 3, 86_400)
+    said = limits.admissions(table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id"), 3, 86_400)
+    return said.withColumn("retry_after", F.round("retry_after", 4))
 
 
-@query()
+@query(recursive_sql.CIRCUIT_BREAKER)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.breaker_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id", (F.col("event_type") != "error").alias("ok")), 2, 3600)
 
