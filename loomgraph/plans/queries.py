@@ -11,7 +11,6 @@ from loomgraph.plans import recursive_sql
 from loomgraph.plans.registry import STAMP, query, r6, stamp
 from loomgraph.sources import domains, store, structured
 from loomgraph.sources.tables import EDGE_SQL, ENTITY_SQL, TENANT, aliases, edges, entities, part_names, table
-from loomgraph.streaming import events as log_events
 from loomgraph.streaming import limits
 
 TERMS = ["erble", "nicht", "thing", "thatin"]
@@ -528,26 +527,3 @@ def rate_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(recursive_sql.CIRCUIT_BREAKER)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.breaker_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id", (F.col("event_type") != "error").alias("ok")), 2, 3600)
-
-
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log made of ``events``: each user's types are extracted; users with odd numbers are merged into the even ones below."""
-    e = table(spark, sf_dir, "events")
-    user, kind = F.concat(F.lit("u"), "user_id"), F.concat(F.lit("k-"), "event_type")
-    entity = lambda i, t: F.struct(i.alias("id"), i.alias("name"), F.lit(t).alias("entity_type"))
-    edge = F.struct(F.concat(user, F.lit("/"), kind).alias("id"), user.alias("src"), kind.alias("dst"), F.lit("did").alias("type"))
-    stated = F.to_json(F.struct(F.array(entity(user, "user"), entity(kind, "kind")).alias("entities"), F.array(edge).alias("edges"), F.concat(F.lit("m"), "event_type").alias("model")))
-    extracted = e.select(F.col("event_id").alias("position"), F.lit(TENANT).alias("tenant_id"), user.alias("stream_id"), F.lit(1).alias("version"), F.lit("extracted").alias("type"), stated.alias("payload"))
-    odd = e.filter("user_id % 2 = 1").select("user_id").distinct()
-    merged = F.to_json(F.struct(F.concat(F.lit("m"), "user_id").alias("event_id"), F.concat(F.lit("u"), F.col("user_id") - 1).alias("canonical"), F.array(user).alias("absorbed")))
-    return extracted.unionByName(odd.select((F.col("user_id") + 10**12).alias("position"), F.lit(TENANT).alias("tenant_id"), F.lit(TENANT).alias("stream_id"), F.lit(1).alias("version"), F.lit("merged").alias("type"), merged.alias("payload")))
-
-
-@query("SELECT DISTINCT 'u' || (user_id - user_id % 2) AS src, 'k-' || event_type AS dst FROM events")
-def replay_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_events.project(event_log(spark, sf_dir))["edges"].select("src", "dst")
-
-
-@query("SELECT DISTINCT 'u' || user_id AS id, 'user' AS entity_type FROM events UNION SELECT DISTINCT 'k-' || event_type, 'kind' FROM events")
-def replay_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_events.project(event_log(spark, sf_dir))["entities"].select("id", "entity_type")
