@@ -126,6 +126,43 @@ def _calendar(text: Column, base: Column) -> Column:
     return run(text, base)
 
 
+_UNIT = r"(second|minute|hour|day|week|month|year)s?"
+_AGO, _IN, _NEAR_UNIT = rf"(?i)^(\d{{1,4}}|an?|one)\s+{_UNIT}\s+ago$", rf"(?i)^in\s+(\d{{1,4}}|an?|one)\s+{_UNIT}$", rf"(?i)^(last|next)\s+{_UNIT}$"
+
+
+def parse_relative(t: Column, base: Column) -> Column:
+    """The moment that a relative phrase means as seen from ``base``: today, yesterday, tomorrow, "3 weeks ago", "in a month", "last
+    year", "next day"; NULL for anything else or without a base."""
+    word = F.lower(t)
+    days = F.when(word.isin("today", "now"), 0).when(word == "yesterday", -1).when(word == "tomorrow", 1)
+    found = F.when(days.isNotNull(), F.timestamp_add("DAY", days, base))
+    for pattern, sign in ((_AGO, -1), (_IN, 1), (_NEAR_UNIT, None)):
+        first, unit = _part(t, pattern, 1), F.lower(_part(t, pattern, 2))
+        n = F.when(F.lower(first) == "last", -1).otherwise(1) if sign is None else F.coalesce(first.try_cast("int"), F.lit(1)) * sign
+        for name in ("second", "minute", "hour", "day", "week", "month", "year"):
+            found = found.when(t.rlike(pattern) & (unit == name), F.timestamp_add(name.upper(), n.cast("int"), base))
+    return found
+
+
+def is_empty(extent: Column) -> Column:
+    """A NULL extent, or one all of whose fields are NULL."""
+    return extent.isNull() | F.coalesce(*[extent[f].cast("string") for f in ("start_date", "end_date", "precision", "uncertainty", "original_text")]).isNull()
+
+
+def is_temporal(extent: Column) -> Column:
+    return ~is_empty(extent)
+
+
+def build_extent(expression: Column, sequence: Column, reference_date: Column | None = None, *, calendar: bool = True) -> Column:
+    """struct(extent, sequence, undatable) of what a model said: a text that can't be read is kept as the extent's text and flagged;
+    a sequence alone makes an entity ordered, not dated; neither gives NULL."""
+    said = F.trim(F.coalesce(expression, F.lit(""))) != ""
+    read = parse(expression, reference_date, calendar=calendar)
+    none = F.lit(None)
+    kept = F.struct(none.cast("timestamp").alias("start_date"), none.cast("timestamp").alias("end_date"), none.cast("string").alias("precision"), none.cast("string").alias("uncertainty"), F.trim(expression).alias("original_text"))
+    return F.when(said | sequence.isNotNull(), F.struct(F.when(said, F.coalesce(read, kept)).alias("extent"), sequence.alias("sequence"), (said & read.isNull()).alias("undatable")))
+
+
 def parse(text: Column, reference_date: Column | None = None, *, calendar: bool = True) -> Column:
     """The extent of a date text, or NULL: blank, over ``LONGEST`` characters, unreadable, or (without a reference date) a
     text that two probe dates read differently (``is_ambiguous``). ``calendar=False`` leaves out the Python parser."""
@@ -135,6 +172,8 @@ def parse(text: Column, reference_date: Column | None = None, *, calendar: bool
         t = strip_markers(cleaned)
         base = F.lit(None).cast("timestamp") if reference_date is None else reference_date
         at = _calendar(F.when(fixed.isNull() & (t != ""), t), base)["at"]
+        if reference_date is not None:
+            at = F.coalesce(parse_relative(t, base), at)
         open_end = F.when(at.isNotNull(), F.struct(at.alias("start"), F.lit(None).cast("timestamp").alias("end"), time_precision(t).alias("precision"), F.lit(False).alias("period")))
         fixed = F.coalesce(fixed, open_end)
 

@@ -49,3 +49,9 @@ def fake_embedding(text: Column, dimension: int = 64, prefix: str = "") -> Colum
         return pa.array([None if x is None else fake_embedding_of(x, dimension, prefix) for x in column.to_pylist()], pa.list_(pa.float32()))
 
     return run(text)
+
+
+def entity_type_of(metadata: Column) -> Column:
+    """The reserved key ``entity_type`` of metadata in JSON, if its value is a string; NULL otherwise."""
+    value = F.try_variant_get(F.try_parse_json(metadata), "$.entity_type", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(metadata), "$.entity_type", "string"))

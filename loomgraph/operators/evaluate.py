@@ -34,3 +34,12 @@ def stability(runs: DataFrame) -> DataFrame:
 def gaps(rows: DataFrame, value: str) -> DataFrame:
     """Nearest-rank p50, p95 and the maximum."""
     return rows.agg(F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.max(value).alias("max"))
+
+
+def confusion_of_relationships(expected: DataFrame, actual: DataFrame, entities: DataFrame) -> DataFrame:
+    """tp, fp, fn of relationships by the names of their ends and their type. expected: source, target, type (names); actual: src, dst,
+    type (ids); entities: id, name. An edge with an end that names nothing is a false positive."""
+    named = actual.join(entities.select(F.col("id").alias("src"), F.col("name").alias("source")), "src", "left").join(entities.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst", "left")
+    lost = named.filter("source is null or target is null").select("src", "dst", "type").distinct().agg(F.count("*").alias("lost"))
+    known = confusion(expected, named.filter("source is not null and target is not null"), ["source", "target", "type"])
+    return known.crossJoin(F.broadcast(lost)).select("tp", (F.col("fp") + F.col("lost")).alias("fp"), "fn")

@@ -22,9 +22,23 @@ def in_interval(entities: DataFrame, query: Column, relations: tuple[str, ...] =
     return entities.withColumn("relation", relate(F.col("bounds"), query)).filter(F.col("relation").isin(*relations))
 
 
-def timeline(entities: DataFrame) -> DataFrame:
-    """Dated entities in order of time: unbounded starts first, unbounded ends last, then id."""
-    return entities.filter("bounds is not null").orderBy(F.col("bounds.lower").asc_nulls_first(), F.col("bounds.upper").asc_nulls_last(), "id")
+def timeline(entities: DataFrame, query: Column | None = None, entity_type: str | None = None) -> DataFrame:
+    """Dated entities in order of time: unbounded starts first, unbounded ends last, then id; of one type, or touching an interval, if given."""
+    if entity_type is not None:
+        entities = entities.filter(F.col("entity_type") == entity_type)
+    found = entities.filter("bounds is not null") if query is None else in_interval(entities, query)
+    return found.orderBy(*time_order())
+
+
+def time_order() -> list[Column]:
+    return [F.col("bounds.lower").asc_nulls_first(), F.col("bounds.upper").asc_nulls_last(), F.col("id").asc()]
+
+
+def relations_in_interval(entities: DataFrame, query: Column, *, relations: tuple[str, ...] = RELATIONS, entity_type: str | None = None, max_pairs: int | None = MAX_PAIRS, within: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
+    """The relations between the entities that touch an interval."""
+    if entity_type is not None:
+        entities = entities.filter(F.col("entity_type") == entity_type)
+    return relation_pairs(in_interval(entities, query).drop("relation"), relations, max_pairs, within)
 
 
 def relation_pairs(entities: DataFrame, relations: tuple[str, ...] = RELATIONS, max_pairs: int | None = MAX_PAIRS, within: tuple[str, ...] = ("tenant_id",)) -> DataFrame:

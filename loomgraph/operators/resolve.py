@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.similarity import HIGH, LOW, band, combined_score, graph_feature, string_similarity
 from loomgraph.functions.vectors import cosine_score
@@ -34,16 +37,45 @@ def blocked_pairs(entities: DataFrame, aliases: DataFrame | None = None) -> Data
     return keys.withColumnRenamed("id", "a").join(other, ["tenant_id", "key"]).filter("a < b").select("tenant_id", "a", "b").distinct()
 
 
+#: Subjects and vectors that are compared at once.
+SUBJECTS, VECTORS = 1024, 16_384
+
+
+def _packed(rows: DataFrame, size: int, side: int) -> tuple[DataFrame, int]:
+    """tenant_id, block, side, id, embedding: rows in about as many blocks as ``size`` fits; how many blocks."""
+    blocks = max(1, -(-rows.count() // size))
+    return rows.select("tenant_id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(side).alias("side"), "id", F.col("embedding").cast("array<float>").alias("embedding")), blocks
+
+
 def nearest(pairs: DataFrame, vectors: DataFrame, k: int = NEAREST) -> DataFrame:
-    """a, b, embedding: scores of the pairs where b is among a's ``k`` nearest (a itself counted). Others have none.
+    """a, b, embedding: scores of the pairs where b is among a's ``k`` nearest (a itself counted), ties by id. Others have none.
 
-    Exact: every subject against every vector of its tenant, ``k`` kept per subject before anything else moves.
+    Exact: every subject against every vector of its tenant, a block of subjects against a block of vectors at a time as one matrix
+    product; of each block only a subject's ``k`` best go on. Zero vectors score nothing.
     """
     subjects = pairs.select("tenant_id", F.col("a").alias("id")).distinct().join(vectors, ["tenant_id", "id"])
-    all_ = subjects.select("tenant_id", F.col("id").alias("a"), F.col("embedding").alias("x")).join(vectors.select("tenant_id", F.col("id").alias("b"), F.col("embedding").alias("y")), "tenant_id")
-    scored = all_.select("tenant_id", "a", "b", cosine_score(F.col("x"), F.col("y")).alias("embedding"))
-    top = F.row_number().over(Window.partitionBy("tenant_id", "a").orderBy(F.desc("embedding"), "b"))
-    return scored.withColumn("nth", top).filter(F.col("nth") <= k).select("tenant_id", "a", "b", "embedding")
+    mine, n_mine = _packed(subjects, SUBJECTS, 0)
+    theirs, n_theirs = _packed(vectors, VECTORS, 1)
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_theirs - 1))))
+    theirs = theirs.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_mine - 1)))).select(*mine.columns)
+    kind = dict(vectors.dtypes)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids = table.column("id").combine_chunks()
+        x = np.array(table.column("embedding").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        own, all_ = np.flatnonzero((side == 0) & (norm > 0)), np.flatnonzero((side == 1) & (norm > 0))
+        all_ = all_[np.argsort(np.array(ids.take(pa.array(all_)).to_pylist()))] if len(all_) else all_
+        scores = np.clip((1 + (x[own] @ x[all_].T) / (norm[own][:, None] * norm[all_][None, :])) / 2, 0, 1)
+        best = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+        a, b = np.repeat(own, best.shape[1]), all_[best.ravel()] if best.size else np.zeros(0, np.int64)
+        tenant = pa.array([key[0].as_py()] * len(a), table.schema.field("tenant_id").type)
+        return pa.table({"tenant_id": tenant, "a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "embedding": pa.array(np.take_along_axis(scores, best, axis=1).ravel() if best.size else [], pa.float64())})
+
+    found = mine.unionByName(theirs).groupBy("tenant_id", "block", "other").applyInArrow(run, f"tenant_id {kind['tenant_id']}, a {kind['id']}, b {kind['id']}, embedding double")
+    top = F.row_number().over(Window.partitionBy("tenant_id", "a").orderBy(F.round("embedding", 12).desc(), "b"))
+    return found.withColumn("nth", top).filter(F.col("nth") <= k).select("tenant_id", "a", "b", "embedding")
 
 
 def features(pairs: DataFrame, entities: DataFrame, names: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
@@ -68,7 +100,7 @@ def scored(feats: DataFrame, high: float = HIGH, low: float = LOW) -> DataFrame:
 def adjudicate(pairs: DataFrame, judge: Callable[[list[tuple]], list[bool | None]], batch: int = 10) -> DataFrame:
     """The undecided pairs with a ``verdict``; the judge (a model call) sees ``batch`` pairs at a time, across subjects.
     A short or failed answer leaves NULL verdicts."""
-    schema = pairs.schema.add("verdict", "boolean")
+    schema = T.StructType([*pairs.schema.fields, T.StructField("verdict", T.BooleanType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -119,3 +151,48 @@ def consolidation_pass(confirmed: DataFrame) -> DataFrame:
 
     kind = dict(confirmed.dtypes)
     return confirmed.groupBy("tenant_id").applyInPandas(run, f"tenant_id {kind['tenant_id']}, canonical {kind['a']}, absorbed {kind['a']}, score double")
+
+
+def canonical_of(subject: str, aliases: DataFrame) -> str:
+    """The id that an alias stands for in the end; an id that is none stands for itself."""
+    from loomgraph.operators.graph import resolve_aliases
+
+    row = resolve_aliases(aliases.select("alias", "canonical")).filter(F.col("alias") == subject).first()
+    return row["canonical"] if row else subject
+
+
+def candidates_of(subject: str, entities: DataFrame, aliases: DataFrame, names: DataFrame | None = None, near: DataFrame | None = None, minimum: float = 0.0) -> DataFrame:
+    """tenant_id, a, b, name, embedding, graph, score, decision: every entity in a block with the subject, no alias and not itself, with
+    a score of at least ``minimum``, best first."""
+    live = entities.join(aliases.select(F.col("alias").alias("id")), "id", "left_anti")
+    own = live.filter(F.col("id") == subject)
+    keys = key_table(own).select("key")
+    others = live.join(key_table(live).join(keys, "key", "left_semi").select("id").distinct(), "id", "left_semi").filter(F.col("id") != subject)
+    pairs = own.select("tenant_id", F.col("id").alias("a")).join(others.select("tenant_id", F.col("id").alias("b")), "tenant_id")
+    return scored(features(pairs, live, names, near)).filter(F.col("score") >= minimum).orderBy(F.desc("score"), "b")
+
+
+def resolve_subject(subject: str, entities: DataFrame, aliases: DataFrame, judge: Callable[[list[tuple]], list[bool | None]], *, names: DataFrame | None = None, low: float = LOW) -> DataFrame:
+    """canonical, absorbed, score, verdict of the merges that one subject makes: it is resolved through its aliases first, what lies
+    between the bands goes to the judge, and what it confirms joins what is sure."""
+    canonical = canonical_of(subject, aliases)
+    found = candidates_of(canonical, entities, aliases, names, minimum=low).select("tenant_id", "a", "b", "score", "decision")
+    unsure = adjudicate(found.filter("decision = 'adjudicate'"), judge)
+    sure = found.filter("decision = 'merge'").withColumn("verdict", F.lit(None).cast("boolean"))
+    return sure.unionByName(unsure.filter("verdict")).select(F.col("a").alias("canonical"), F.col("b").alias("absorbed"), "score", "verdict")
+
+
+def question(pairs: DataFrame, batch: int = 10) -> DataFrame:
+    """tenant_id, batch, prompt: numbered pairs for the model, ``batch`` at a time. pairs: tenant_id, nth (from 0), a_name, a_type, b_name, b_type."""
+    one = F.concat((F.col("nth") % batch + 1).cast("string"), F.lit(". "), F.col("a_name"), F.lit(" ("), F.col("a_type"), F.lit(") | "), F.col("b_name"), F.lit(" ("), F.col("b_type"), F.lit(")"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("nth", one.alias("line")))), lambda x: x["line"])
+    return pairs.groupBy("tenant_id", F.floor(F.col("nth") / batch).cast("long").alias("batch")).agg(F.array_join(listed, "\n").alias("prompt"))
+
+
+def retry_through_aliases(merges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Merges whose canonical id was absorbed meanwhile, led to where it went; those that would absorb their own canonical are dropped."""
+    from loomgraph.operators.graph import resolve_aliases
+
+    ends = resolve_aliases(aliases.select("alias", "canonical")).toDF("was", "now")
+    moved = merges.join(ends, F.col("canonical") == F.col("was"), "left").withColumn("canonical", F.coalesce("now", "canonical")).drop("was", "now")
+    return moved.filter("canonical <> absorbed")

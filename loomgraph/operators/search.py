@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.similarity import lexical_score
 from loomgraph.functions.text import normalize_name, query_keys
 from loomgraph.functions.vectors import cosine_score, has_zero_norm
 from loomgraph.operators import lexical
+from loomgraph.operators.ranking import placed
 
 RRF_K, OVERFETCH = 60, 3
 MODES = ("hybrid", "semantic", "lexical")
@@ -41,9 +42,8 @@ def fuse(rankings: dict[str, DataFrame], k: int | None = None, constant: int = R
     """id, score, and the score of each channel (NULL where it didn't rank the row). Ranks alone count, first is 1."""
     parts = []
     for name, ranking in rankings.items():
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id"))
         first = ranking.groupBy("id").agg(F.max("score").alias("score"))
-        parts.append(first.select("id", F.lit(name).alias("channel"), "score", place.alias("place")))
+        parts.append(placed(first, F.desc("score"), "id").select("id", F.lit(name).alias("channel"), "score", "place"))
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.unionByName(p)

@@ -9,7 +9,9 @@ from loomgraph.functions import ids, similarity, temporal, text, vectors
 from loomgraph.operators import chunkers, communities, evaluate, extraction, graph, intervals, lexical, merge, resolve, search
 from loomgraph.plans import recursive_sql
 from loomgraph.plans.registry import STAMP, query, r6, stamp
+from loomgraph.operators.ranking import placed
 from loomgraph.sources import domains, store, structured
+from loomgraph.sources.shared import materialise
 from loomgraph.sources.tables import EDGE_SQL, ENTITY_SQL, TENANT, aliases, edges, entities, part_names, table
 from loomgraph.streaming import limits
 
@@ -199,22 +201,21 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dangling(edges(spark, sf_dir).unionByName(loose), entities(spark, sf_dir))
 
 
-_HOPS = """both_ways AS (SELECT src, dst FROM v_edge WHERE type <> 'supplies' UNION SELECT dst, src FROM v_edge WHERE type <> 'supplies'),
+_HOPS = """both_ways AS (SELECT src, dst FROM v_edge UNION SELECT dst, src FROM v_edge),
 one AS (SELECT 'r' || r_regionkey AS origin, dst AS id FROM region JOIN both_ways ON src = 'r' || r_regionkey)"""
-_NEAR = ["located_in", "part_of"]
 
 
 @query(f"WITH {EDGE_SQL}, {_HOPS} SELECT DISTINCT origin, id, 1 AS hops FROM one")
 def neighbors_depth1(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
-    return graph.neighbors(edges(spark, sf_dir), regions, 1, _NEAR)
+    return graph.neighbors(edges(spark, sf_dir), regions, 1)
 
 
 @query(f"""WITH {EDGE_SQL}, {_HOPS}, two AS (SELECT origin, dst AS id FROM one JOIN both_ways ON src = one.id)
 SELECT origin, id, min(h) AS hops FROM (SELECT origin, id, 1 AS h FROM one UNION ALL SELECT origin, id, 2 FROM two) WHERE id <> origin GROUP BY ALL""")
 def neighbors_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"))
-    return graph.neighbors(edges(spark, sf_dir), regions, 2, _NEAR)
+    return graph.neighbors(edges(spark, sf_dir), regions, 2)
 
 
 @query("SELECT p_partkey AS alias, min(p_partkey) OVER w AS canonical FROM part WINDOW w AS (PARTITION BY p_name, p_brand) QUALIFY p_partkey > min(p_partkey) OVER w")
@@ -260,14 +261,16 @@ def _soundex_sql(l: str) -> str:
 
 
 _LETTERS = "regexp_replace(name, '[^A-Za-z]', '', 'g')"
-_NAMES_SQL = f"""
-names AS (SELECT min(p_partkey) AS id, p_name AS name FROM part GROUP BY p_name),
-keys AS (SELECT id, 'p:' || substr(lower(name), 1, 5) AS key FROM names UNION SELECT id, 's:' || {_soundex_sql(_LETTERS)} FROM names)"""
+_NAMES_SQL = f"""{ENTITY_SQL}, {EDGE_SQL},
+names AS (SELECT min(id) AS id, name, lower(name) AS nn, entity_type FROM v_entity WHERE entity_type <> 'customer' GROUP BY name, entity_type),
+keys AS (SELECT id, 'p:' || substr(nn, 1, 5) AS key FROM names UNION SELECT id, 's:' || {_soundex_sql(_LETTERS)} FROM names WHERE {_LETTERS} <> '' UNION SELECT id, 't:' || entity_type FROM names)"""
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = part_names(spark, sf_dir).withColumn("tenant_id", F.lit(TENANT))
-    return named.withColumn("blocking_keys", text.blocking_keys(F.col("name"), None, ("prefix", "soundex"), ascii_only=True))
+    """Entities by name and type, with the default three blocking keys. Customers are left out: their names are numbers, and the
+    block of their type would hold the square of their count."""
+    named = entities(spark, sf_dir).filter("entity_type <> 'customer'").groupBy("tenant_id", "name", "entity_type").agg(F.min("id").alias("id"))
+    return named.withColumn("blocking_keys", text.blocking_keys(F.col("name"), F.col("entity_type"), ascii_only=True))
 
 
 @query(f"WITH {_NAMES_SQL} SELECT id, key FROM keys")
@@ -285,61 +288,111 @@ _SIMILAR = "greatest(jaro_winkler_similarity({0}, {1}), 0.85 * " + _OVERLAP + ")
 _PAIRS_SQL = f"pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keys x JOIN keys y USING (key) WHERE x.id < y.id)"
 
 
-@query(f"WITH {_NAMES_SQL}, {_PAIRS_SQL} SELECT a, b, round({_SIMILAR.format('x.name', 'y.name')}, 6) AS name FROM pairs JOIN names x ON x.id = a JOIN names y ON y.id = b")
+@query(f"WITH {_NAMES_SQL}, {_PAIRS_SQL} SELECT a, b, round({_SIMILAR.format('x.nn', 'y.nn')}, 6) AS name FROM pairs JOIN names x ON x.id = a JOIN names y ON y.id = b")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _named(spark, sf_dir)
     return resolve.features(resolve.blocked_pairs(named), named).select("a", "b", r6(F.col("name")).alias("name"))
 
 
-def _supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("id")).distinct()
-    line = line.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    return line.groupBy("id").agg(F.collect_set("s_name").alias("names"))
+def _part_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector n is that of part n."""
+    return table(spark, sf_dir, "embeddings").select(F.lit(TENANT).alias("tenant_id"), F.concat(F.lit("p"), "vec_id").alias("id"), "embedding")
 
 
-_BANDS_SQL = f"""WITH {_NAMES_SQL}, {_PAIRS_SQL}, sup AS (SELECT DISTINCT l_partkey AS id, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-lists AS (SELECT id, list(s_name) AS names FROM sup GROUP BY id),
-f AS (SELECT a, b, {_SIMILAR.format('x.name', 'y.name')} AS name, CASE WHEN p.names IS NULL AND q.names IS NULL THEN NULL WHEN p.names IS NULL OR q.names IS NULL THEN 0
+_PAIR_COSINE = "least(1, greatest(0, (1 + list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e)))) / 2))"
+_NEAR_SQL = f"""vec AS (SELECT 'p' || vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT a, b, emb FROM (SELECT x.id AS a, y.id AS b, {_PAIR_COSINE} AS emb FROM vec x, vec y WHERE x.id IN (SELECT a FROM pairs)) QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(emb, 12) DESC, b) <= 50)"""
+
+
+@query(f"WITH pairs AS (SELECT DISTINCT 'p' || vec_id AS a FROM embeddings WHERE vec_id % 20 = 0), {_NEAR_SQL} SELECT a, b, round(emb, 6) AS embedding FROM near")
+def nearest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 nearest of every twentieth vector among all."""
+    v = _part_vectors(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.lit(TENANT).alias("tenant_id"), F.concat(F.lit("p"), "vec_id").alias("a"))
+    return resolve.nearest(asked, v).select("a", "b", r6(F.col("embedding")).alias("embedding"))
+
+
+_BANDS_SQL = f"""WITH {_NAMES_SQL}, {_PAIRS_SQL}, {_NEAR_SQL},
+lists AS (SELECT e.id, list(DISTINCT lower(v.name)) AS names FROM (SELECT src AS id, dst AS o FROM v_edge UNION ALL SELECT dst, src FROM v_edge) e JOIN v_entity v ON v.id = e.o WHERE e.id IN (SELECT id FROM names) GROUP BY e.id),
+f AS (SELECT pairs.a, pairs.b, {_SIMILAR.format('x.nn', 'y.nn')} AS name, emb, CASE WHEN p.names IS NULL AND q.names IS NULL THEN NULL WHEN p.names IS NULL OR q.names IS NULL THEN 0
   ELSE len(list_intersect(p.names, q.names)) / len(list_distinct(list_concat(p.names, q.names))) END AS graph
-  FROM pairs JOIN names x ON x.id = a JOIN names y ON y.id = b LEFT JOIN lists p ON p.id = a LEFT JOIN lists q ON q.id = b),
-s AS (SELECT *, CASE WHEN graph IS NULL THEN name ELSE (0.5 * name + 0.2 * graph) / 0.7 END AS score FROM f)
-SELECT a, b, round(graph, 6) AS graph, round(score, 6) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.75 THEN 'adjudicate' ELSE 'reject' END AS decision FROM s"""
+  FROM pairs JOIN names x ON x.id = a JOIN names y ON y.id = b LEFT JOIN lists p ON p.id = a LEFT JOIN lists q ON q.id = b LEFT JOIN near n ON n.a = pairs.a AND n.b = pairs.b),
+s AS (SELECT *, (0.5 * name + coalesce(0.2 * graph, 0) + coalesce(0.3 * emb, 0)) / (0.5 + CASE WHEN graph IS NULL THEN 0 ELSE 0.2 END + CASE WHEN emb IS NULL THEN 0 ELSE 0.3 END) AS score FROM f)"""
 
 
 def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _named(spark, sf_dir)
-    return resolve.scored(resolve.features(resolve.blocked_pairs(named), named, _supplied(spark, sf_dir)))
+    pairs = materialise(resolve.blocked_pairs(named), "pairs")
+    around = graph.neighbour_names(edges(spark, sf_dir), entities(spark, sf_dir).select("id", text.normalize_name(F.col("name")).alias("normalized_name"))).join(named.select("id"), "id", "left_semi")
+    near = resolve.nearest(pairs.filter(F.col("a").startswith("p")), _part_vectors(spark, sf_dir))
+    return resolve.scored(resolve.features(pairs, named, around, near))
 
 
-@query(_BANDS_SQL)
+@query(_BANDS_SQL + " SELECT a, b, round(emb, 6) AS embedding, round(graph, 6) AS graph, round(score, 6) AS score, CASE WHEN score >= 0.92 THEN 'merge' WHEN score >= 0.75 THEN 'adjudicate' ELSE 'reject' END AS decision FROM s")
 def combined_score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _banded(spark, sf_dir).select("a", "b", r6(F.col("graph")).alias("graph"), r6(F.col("score")).alias("score"), "decision")
+    return _banded(spark, sf_dir).select("a", "b", *[r6(F.col(c)).alias(c) for c in ("embedding", "graph", "score")], "decision")
 
 
-@query("""WITH n AS (SELECT 'n' || n_nationkey AS id, list(name) AS names FROM (
-  SELECT n_nationkey, lower(c_mktsegment) AS name FROM nation JOIN customer ON c_nationkey = n_nationkey
-  UNION SELECT n_nationkey, lower(s_name) FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT n_nationkey, lower(r_name) FROM nation JOIN region ON r_regionkey = n_regionkey) GROUP BY 1)
-SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.names, y.names)) / len(list_distinct(list_concat(x.names, y.names))), 6) AS jaccard FROM n x JOIN n y ON x.id < y.id""")
+@query(f"""WITH {ENTITY_SQL}, {EDGE_SQL}, n AS (SELECT e.id, list(DISTINCT lower(v.name)) AS names FROM (SELECT src AS id, dst AS o FROM v_edge UNION ALL SELECT dst, src FROM v_edge) e JOIN v_entity v ON v.id = e.o WHERE e.id LIKE 'n%' OR e.id LIKE 's%' GROUP BY e.id)
+SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.names, y.names)) / len(list_distinct(list_concat(x.names, y.names))), 6) AS jaccard FROM n x JOIN n y ON x.id[1] = y.id[1] AND x.id < y.id""")
 def neighbour_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations by the names around them; customers go by their segment."""
-    named = entities(spark, sf_dir).select("id", text.normalize_name(F.col("name")).alias("normalized_name"))
-    segments = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), text.normalize_name(F.col("c_mktsegment")).alias("segment"))
-    named = named.join(segments, "id", "left").select("id", F.coalesce("segment", "normalized_name").alias("normalized_name"))
-    around = graph.neighbour_names(edges(spark, sf_dir).filter("type <> 'supplies'"), named).join(_nations(spark, sf_dir), "id", "left_semi")
-    pairs = around.toDF("a", "x").join(around.toDF("b", "y"), F.col("a") < F.col("b"))
+    """Nations, and suppliers, by the names of all entities around them; pairs are those of one type's block."""
+    named = entities(spark, sf_dir)
+    around = graph.neighbour_names(edges(spark, sf_dir), named.select("id", text.normalize_name(F.col("name")).alias("normalized_name")))
+    around = materialise(around.join(named.filter(F.col("entity_type").isin("nation", "supplier")).select("id", "entity_type"), "id"), "names-around")
+    pairs = around.select("entity_type", F.col("id").alias("a"), F.col("names").alias("x")).join(around.select("entity_type", F.col("id").alias("b"), F.col("names").alias("y")), "entity_type").filter("a < b")
     return pairs.select("a", "b", r6(similarity.jaccard(F.col("x"), F.col("y"))).alias("jaccard"))
 
 
 @query(f"""WITH {_NAMES_SQL}, q AS (SELECT '{PART_QUERY}' AS name), qk AS (SELECT 'p:' || substr(name, 1, 5) AS key FROM q UNION SELECT 's:' || {_soundex_sql(_LETTERS)} FROM q)
-SELECT id, round({_SIMILAR.format("name", "'" + PART_QUERY + "'")}, 6) AS score FROM names WHERE id IN (SELECT id FROM keys WHERE key IN (SELECT key FROM qk)) ORDER BY 2 DESC, id LIMIT 10""")
+SELECT id, round({_SIMILAR.format("nn", "'" + PART_QUERY + "'")}, 6) AS score FROM names WHERE id IN (SELECT id FROM keys WHERE key IN (SELECT key FROM qk)) ORDER BY 2 DESC, id LIMIT 10""")
 def lexical_entity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.lexical_entities(_named(spark, sf_dir), PART_QUERY, 10).select("id", r6(F.col("score")).alias("score"))
 
 
-@query()
+def _judge(least: float):
+    """The stand-in of a model: says yes from a score on."""
+
+    def judge(pairs: list[tuple]) -> list[bool | None]:
+        return [p[3] >= least for p in pairs]
+
+    return judge
+
+
+@query(_BANDS_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f", confirmed AS (SELECT a, b, round(score, 9) AS score FROM s WHERE score >= 0.85), {recursive_sql.fold('confirmed')} SELECT canonical, absorbed, round(score, 6) AS score FROM folded")
 def consolidation_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    confirmed = _banded(spark, sf_dir).filter("decision <> 'reject'").select("tenant_id", "a", "b", "score")
-    return resolve.consolidation_pass(confirmed).withColumn("score", r6(F.col("score")))
+    """Sure pairs, and those between the bands that the judge confirms, in one ordered pass."""
+    banded = materialise(_banded(spark, sf_dir).select("tenant_id", "a", "b", F.round("score", 9).alias("score"), "decision"), "bands")
+    judged = resolve.adjudicate(banded.filter("decision = 'adjudicate'"), _judge(0.85)).filter("verdict")
+    confirmed = banded.filter("decision = 'merge'").unionByName(judged.drop("verdict")).drop("decision")
+    return resolve.consolidation_pass(confirmed).select("canonical", "absorbed", r6(F.col("score")).alias("score"))
+
+
+@query(_BANDS_SQL + """, c AS (SELECT CASE WHEN a = 's0' THEN b ELSE a END AS absorbed, score FROM s WHERE (a = 's0' OR b = 's0') AND a <> 's3' AND b <> 's3' AND score >= 0.8)
+SELECT 's0' AS canonical, absorbed, round(score, 6) AS score FROM c""")
+def resolve_one_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subject that is an alias of an alias; of what it could be merged with one is an alias already."""
+    named = _named(spark, sf_dir)
+    around = graph.neighbour_names(edges(spark, sf_dir), entities(spark, sf_dir).select("id", text.normalize_name(F.col("name")).alias("normalized_name")))
+    known = spark.createDataFrame([("oldest", "old"), ("old", "s0"), ("s3", "s0")], "alias string, canonical string")
+    return resolve.resolve_subject("oldest", named, known, _judge(0.8), names=around).select("canonical", "absorbed", r6(F.col("score")).alias("score"))
+
+
+@query("""WITH p AS (SELECT p_partkey - 1 AS i, p_partkey, p_name, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS nth FROM part)
+SELECT nth // 10 AS batch, string_agg((nth % 10 + 1) || '. ' || p_name || ' (part) | ' || p_brand || ' (brand)', chr(10) ORDER BY nth) AS prompt FROM p GROUP BY 1""")
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered pairs for the judge, ten at a time."""
+    rows = placed(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey")
+    pairs = rows.select(F.lit(TENANT).alias("tenant_id"), (F.col("place") - 1).alias("nth"), F.col("p_name").alias("a_name"), F.lit("part").alias("a_type"), F.col("p_brand").alias("b_name"), F.lit("brand").alias("b_type"))
+    return resolve.question(pairs).select("batch", "prompt")
+
+
+@query("""WITH n AS (SELECT p_partkey, lag(p_partkey) OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS before, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS first FROM part)
+SELECT p_partkey + 1 AS absorbed, CASE WHEN before IS NULL THEN p_partkey ELSE first END AS canonical FROM n WHERE CASE WHEN before IS NULL THEN p_partkey ELSE first END <> p_partkey + 1""")
+def merges_through_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges into ids that were absorbed meanwhile go to where those went."""
+    merges = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("canonical"), (F.col("p_partkey") + 1).alias("absorbed"))
+    return resolve.retry_through_aliases(merges, aliases(spark, sf_dir)).select("absorbed", "canonical")
 
 
 _MERGED = "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS c FROM part"
@@ -425,10 +478,7 @@ def entities_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BOUNDS_SQL} SELECT id, row_number() OVER (ORDER BY lo NULLS FIRST, up NULLS LAST, id) AS place FROM b")
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("bounds.lower").asc_nulls_first(), F.col("bounds.upper").asc_nulls_last(), "id")
-    return intervals.timeline(_extents(spark, sf_dir)).select("id", F.row_number().over(order).cast("long").alias("place"))
+    return placed(_extents(spark, sf_dir).filter("bounds is not null"), *intervals.time_order()).select("id", "place")
 
 
 @query(f"""WITH {_BOUNDS_SQL}, r AS (SELECT x.tenant_id, x.id AS a, y.id AS b, {_RELATE.format('x', 'y')} AS r FROM b x JOIN b y ON x.tenant_id = y.tenant_id AND x.id < y.id)
@@ -468,9 +518,18 @@ def open_graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(structured.open_graph(og).alias("e")).select("e.type", "e.name", "e.description", "e.properties")
 
 
-@query()
+@query("""SELECT page_id, 'person' AS type, 'Author ' || page_id AS name, 'schema_org' AS method FROM pages
+UNION ALL SELECT page_id, 'organization', 'Press ' || page_id % 7, 'schema_org' FROM pages
+UNION ALL SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'document' WHEN 1 THEN 'product' ELSE 'person' END, 'Page > ' || page_id, 'open_graph' FROM pages WHERE page_id % 4 <> 0""")
 def page_structured_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured.page_entities(table(spark, sf_dir, "pages"))
+    """Every page states an author with an organization; three of four state a title too, their attributes in either order."""
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id").cast("string")
+    item = F.to_json(F.struct(F.lit("Person").alias("@type"), F.concat(F.lit("Author "), n).alias("name"), F.struct(F.lit("Organization").alias("@type"), F.concat(F.lit("Press "), (F.col("page_id") % 7).cast("string")).alias("name")).alias("worksFor")))
+    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<META content='Page > "), n, F.lit("' property=og:title />"))).otherwise(F.concat(F.lit('<meta property="og:title" content="Page > '), n, F.lit('">')))
+    kind = F.concat(F.lit('<meta class="x" name="og:type" content="'), F.element_at(F.array(F.lit("article"), F.lit("book"), F.lit("profile")), (F.col("page_id") % 3 + 1).cast("int")), F.lit('">'))
+    stated = F.concat(F.lit('<script type="application/ld+json">'), item, F.lit("</script>"), F.when(F.col("page_id") % 4 != 0, F.concat(title, kind)).otherwise(F.lit('<meta name="viewport" content="og:title">')))
+    return structured.page_entities(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), stated))).select("page_id", "type", "name", "method")
 
 
 @query()

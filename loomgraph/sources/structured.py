@@ -119,15 +119,31 @@ def open_graph(og: Column) -> Column:
     ))
 
 
-_META = r"(?i)<meta\s+(?:property|name)=[\"'](?:og:)?((?:article:|product:)?[a-z_:]+)[\"']\s+content=[\"']([^\"']*)[\"']"
+_META = r"(?i)<meta(?:\s+[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?)*\s*/?>"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))"
+
+
+def _attribute(tag: Column, names: str) -> Column:
+    """The value of the first of these attributes of a tag, in whatever quotes; NULL without it."""
+    pattern = rf"(?i)\s(?:{names}){_VALUE}"
+    return F.when(tag.rlike(pattern), F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]))
+
+
+def open_graph_of(html: Column) -> Column:
+    """map of a page's Open Graph properties, ``og:`` left out: the attributes of each meta tag in any order, the first of a name."""
+    tags = F.transform(F.regexp_extract_all(html, F.lit(_META), F.lit(0)), lambda t: F.struct(F.lower(_attribute(t, "property|name")).alias("key"), _attribute(t, "content").alias("value")))
+    own = F.transform(F.filter(tags, lambda t: t["key"].rlike("^(?:og|article|product):") & t["value"].isNotNull()), lambda t: F.struct(F.regexp_replace(t["key"], "^og:", "").alias("key"), t["value"].alias("value")))
+    names = F.transform(own, lambda t: t["key"])
+    return F.map_from_entries(F.filter(own, lambda t, i: F.array_position(names, t["key"]) == i + 1))
+
+
 _SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 
 
 def page_entities(pages: DataFrame) -> DataFrame:
     """page_id and the fields of every entity that a page states in JSON-LD or Open Graph."""
-    keys, values = F.regexp_extract_all("html", F.lit(_META), 1), F.regexp_extract_all("html", F.lit(_META), 2)
-    og = F.map_from_entries(F.transform(F.array_distinct(F.transform(keys, F.lower)), lambda k: F.struct(k.alias("key"), F.get(values, (F.array_position(F.transform(keys, F.lower), k) - 1).cast("int")).alias("value"))))
     stated = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(_SCRIPT), 1), lambda s: F.array(s)))
     texts = pages.select("page_id", F.explode(stated).alias("ld")).select("page_id", F.inline(json_ld(F.col("ld"))))
-    graph = pages.filter(F.col("html").rlike(r"(?i)<meta\s+(?:property|name)=[\"']og:")).select("page_id", open_graph(og).alias("e")).filter("e is not null").select("page_id", "e.*")
+    og = pages.filter(F.col("html").rlike("(?i)og:title")).select("page_id", open_graph_of(F.col("html")).alias("og"))
+    graph = og.select("page_id", open_graph(F.col("og")).alias("e")).filter("e is not null").select("page_id", "e.*")
     return texts.unionByName(graph)
