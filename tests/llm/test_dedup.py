@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def brute_lines(rows, most):
 
 
 def test_line_dedup_against_brute_force(docs_of):
-    rows = [(i, f"Shared  Line\nown {i}\n\n{'twice' if i < 2 else 'shared line'}\nown {i}") for i in range(5)] + [(7, None), (8, ""), (9, "shared line"), (9, "shared line"), (10, "x" * 300_000)]
+    rows = [(i, f"Shared  Line\nown {i}\n\n{'twice' if i < 2 else 'shared line'}\nown {i}") for i in range(5)] + [(20 + i, t) for i, t in enumerate(("\tfoo bar", "foo bar\r", "foo\u00a0bar", " foo \t bar \f", "FOO\x0bBAR", "\t\r", "\u00a0"))] + [(7, None), (8, ""), (9, "shared line"), (9, "shared line"), (10, "x" * 300_000)]
     found = linededup.drop_frequent_lines(docs_of(rows), 3).select("doc_id", "text").collect()
     assert sorted(map(tuple, found), key=str) == sorted(brute_lines(rows, 3), key=str)
 
@@ -187,7 +188,7 @@ def test_near_duplicates_behind_a_dissimilar_leader(docs_of, monkeypatch):
     rows = [(i, prose(60, 900 + i)) for i in range(24)] + [(100 + i, edited(prose(60, 900 + i), 0.05, i)) for i in range(24)]
     truth = {100 + i: i for i in range(24) if neardup.similar(rows_text(rows, i), rows_text(rows, 100 + i))}
     assert len(truth) >= 20
-    monkeypatch.setattr(neardup, "_sketches", lambda text, *_: F.array(F.lit(1).cast("long")))
+    monkeypatch.setattr(neardup, "_sketches", lambda least: lambda batches: (pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array([1] * b.num_rows, pa.int64())], names=["a", "b", "key"]) for b in batches))
     for block in (1024, 7):
         monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
         group = {r.doc_id: r.group_id for r in neardup.groups(docs_of(rows)).collect()}
