@@ -9,8 +9,8 @@ Every tree draws its own sample of ``SAMPLE`` documents, those with the smallest
 the method's subsampling and no other step uses fewer rows. Statistics, scores and the histogram behind the threshold cover
 all rows.
 
-Rows: a text without words (NULL, empty, blank) gets score 1 and is rejected; scores depend on the text alone, so repeated rows
-and ties are decided alike; labels without a document, or with a NULL id or quality, are ignored, repeated ones count each;
+Rows: a text without words (NULL, empty, blank) gets score 1 and is rejected; very long texts are read whole; scores depend on the
+text alone, so repeated rows and ties are decided alike; labels without a document, or with a NULL id or quality, are ignored, repeated ones count each;
 without labels, or without bad ones, the threshold is ``UNLABELLED``; an empty table gives no rows; further columns of any
 name pass through ``keep_good``.
 """
@@ -174,10 +174,29 @@ class Forest:
         return (2.0 ** (-self.paths(x[first]) / max(expected_path(self.size), 1e-9)))[back.ravel()]
 
 
+def draw_sample(stats: DataFrame, size: int, seed: int = SEED) -> list[list[float]]:
+    """The vectors of the ``size`` rows of (doc_id, stats) with the smallest seeded hashes.
+
+    A hash below a share of its range a little over ``size`` of the rows is drawn, so that is all that leaves the executors,
+    each distinct row once with its count. Where repeated rows leave too few the share is doubled.
+    """
+    rows = stats.filter("stats is not null").select("stats", F.xxhash64(F.lit(seed), "doc_id", "stats").alias("draw"))
+    n = rows.count()
+    share = min(1.0, (size + 6 * math.sqrt(size) + 64) / max(1, n))
+    while True:
+        below = rows if share >= 1 else rows.filter(F.col("draw") < F.lit(int(share * 2.0**64) - (1 << 63)))
+        drawn = sorted((r["draw"], r["stats"], r["count"]) for r in below.groupBy("draw", "stats").count().collect())
+        if share >= 1 or sum(c for _, _, c in drawn) >= size:
+            points: list[list[float]] = []
+            for _, vector, count in drawn:
+                points += [vector] * min(count, size - len(points))
+            return points
+        share = min(1.0, share * 2)
+
+
 def train(stats: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> Forest:
-    """A forest from (doc_id, stats) rows. Brings ``trees * sample`` vectors to the driver, whatever the table's size."""
-    drawn = stats.filter("stats is not null").select("stats", F.xxhash64(F.lit(seed), "doc_id", "stats").alias("draw")).orderBy("draw").limit(trees * sample)
-    points = np.array([r[0] for r in drawn.collect()], dtype=float).reshape(-1, len(RULES))
+    """A forest from (doc_id, stats) rows. Brings little more than ``trees * sample`` vectors to the driver, whatever the table's size."""
+    points = np.array(draw_sample(stats, trees * sample, seed), dtype=float).reshape(-1, len(RULES))
     order = np.random.default_rng(seed).permutation(len(points))
     each = min(sample, len(points))
     samples = [points[np.take(order, range(k * each, (k + 1) * each), mode="wrap")] for k in range(trees)] if each else []
@@ -216,21 +235,24 @@ def calibrate(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
     return float((same[0] + same[-1] + 2) / 2 / BINS)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Forest, float, DataFrame]:
-    """The forest, the threshold, and (doc_id, stats) of all rows, written once; labels join those without the texts."""
-    stats = materialise(docs.select("doc_id", rule_statistics(F.col("text")).alias("stats")), "rule-statistics")
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
+    """The forest and the threshold from (doc_id, stats) of all rows; labels join those without the texts."""
     forest = train(stats)
     labelled = stats.join(labels.filter("doc_id is not null").select("doc_id", "quality"), "doc_id")
-    return forest, calibrate(labelled.select(anomaly(F.col("stats"), forest).alias("score"), "quality")), stats
+    return forest, calibrate(labelled.select(anomaly(F.col("stats"), forest).alias("score"), "quality"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the anomaly ``score`` and whether to ``keep`` it, of every row of ``docs``. Texts are read once."""
-    forest, threshold, stats = fit(docs, labels)
+    stats = materialise(docs.select("doc_id", rule_statistics(F.col("text")).alias("stats")), "rule-statistics")
+    forest, threshold = fit(stats, labels)
     return stats.select("doc_id", anomaly(F.col("stats"), forest).alias("score")).withColumn("keep", F.col("score") < threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't anomalies, in the columns of ``docs``. No shuffle of texts."""
-    forest, threshold, _ = fit(docs, labels)
-    return docs.filter(anomaly(rule_statistics(F.col("text")), forest) < threshold)
+    """The rows of ``docs`` that aren't anomalies, in the columns of ``docs``. The statistics are computed once, and written beside
+    the rows; no shuffle of texts."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rated = materialise(docs.select(row, rule_statistics(F.col("text")).alias("stats")), "rated-rows")
+    forest, threshold = fit(rated.select("row.doc_id", "stats"), labels)
+    return rated.filter(anomaly(F.col("stats"), forest) < threshold).select("row.*")
