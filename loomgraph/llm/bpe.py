@@ -6,13 +6,13 @@ is also safe for the pre-tokenizer (see ``cut_table``), the fragments are encode
 per worker, and their ids are concatenated. The result equals encoding the whole text.
 
 Rows: NULL text gives NULL tokens; an empty text gives an empty list; a text with no certain boundary is one fragment
-and is encoded whole; repeated rows are encoded alike; further columns of any name pass through.
+and is encoded whole, as very long texts are; repeated rows are encoded alike; an empty table gives no rows; further columns of any
+name pass through.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.llm.common import in_parts, remembered
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -147,30 +149,36 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    known = remembered("bpe.encoder")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]
 
 
 def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     """struct(tokens, fragments, round_trip) of a text; NULL of NULL. ``vocabulary`` must be readable on every worker."""
 
-    @F.arrow_udf(ENCODED)
-    def run(column: pa.Array) -> pa.Array:
+    kind = pa.struct([("tokens", pa.list_(pa.int32())), ("fragments", pa.int32()), ("round_trip", pa.bool_())])
+
+    def part(column: pa.Array) -> pa.Array:
         done = encoder(vocabulary).texts(column.to_pylist())
         offsets = np.cumsum([0, *(0 if x is None else len(x[0]) for x in done)])
         ids = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in done if x is not None)])
-        missing = pa.array([x is None for x in done], pa.bool_())
         return pa.StructArray.from_arrays(
             [
                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
                 pa.array([None if x is None else x[1] for x in done], pa.int32()),
                 pa.array([None if x is None else x[2] for x in done], pa.bool_()),
             ],
-            fields=[pa.field("tokens", pa.list_(pa.int32())), pa.field("fragments", pa.int32()), pa.field("round_trip", pa.bool_())],
-            mask=missing,
+            fields=list(kind),
+            mask=pa.array([x is None for x in done], pa.bool_()),
         )
 
+    @F.arrow_udf(ENCODED)
+    def run(column: pa.Array) -> pa.Array:
+        return in_parts(column, part, kind)
+
     return run(text)
 
 
@@ -180,7 +188,7 @@ def decode(tokens: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     @F.arrow_udf(T.StringType())
     def run(column: pa.Array) -> pa.Array:
         of = encoder(vocabulary).decode_bytes
-        return pa.array([None if x is None else of(x).decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
+        return pa.array([None if not x.is_valid else of(x.as_py()).decode("utf-8", "replace") for x in column], pa.string())
 
     return run(tokens)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete the tables that this session has written; DataFrames that read them can't be used after."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomgraph")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="tables")
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that are written inside go to a folder of their own, which ``forget`` can delete."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession, name: str = "tables") -> None:
+    """Delete the tables that this session has written in a scope; DataFrames that read them can't be used after."""
+    _delete(spark, f"{shared_dir(spark)}/loomgraph/{name}")
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made, when nothing that is still to be computed reads them."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -43,9 +68,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/loomgraph/{_scope.get()}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
 
 
 #: Bytes of text of which an Arrow function holds Python objects at once.
