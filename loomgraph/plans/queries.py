@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, similarity, temporal, text, vectors
-from loomgraph.operators import chunkers, communities, evaluate, extraction, graph, intervals, lexical, merge, resolve, search
+from loomgraph.operators import chunkers, communities, evaluate, graph, intervals, lexical, merge, resolve, search
 from loomgraph.plans import recursive_sql
 from loomgraph.plans.registry import STAMP, query, r6, stamp
 from loomgraph.operators.ranking import placed
@@ -532,15 +532,6 @@ def page_structured_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structured.page_entities(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), stated))).select("page_id", "type", "name", "method")
 
 
-@query()
-def extract_graph_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of every passage of every document under the deterministic stand-in of a model."""
-    tenant = F.lit("00000000-0000-5000-8000-000000000001")
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select(tenant.alias("tenant_id"), F.col("doc_id").cast("string").alias("source_id"), "text")
-    built = extraction.build_graph(chunkers.chunks(docs), extraction.fake_model)
-    return built["entities"].select("source_id", "id", "name", "mentions")
-
-
 # --- evaluation, limits, log --------------------------------------------------------------------------------------------
 
 

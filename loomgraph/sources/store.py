@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from loomgraph.functions.vectors import has_zero_norm
 from loomgraph.operators import graph, lexical, search
 from loomgraph.operators.merge import last_write
+from loomgraph.sources.shared import materialise
 
 
 class ConcurrentWrite(RuntimeError):
@@ -149,6 +150,22 @@ class KeyedTable:
         self._commit(number, versions, rest.unionByName(fresh), [tenant_id])
         return lost
 
+    def replace_sources(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
+        """The rows of all ``sources`` (tenant_id, source_id) become ``rows``, in one write; tenant_id, source_id, lost of each: how
+        many old rows no longer exist. A source without new rows loses all it had; a row of another source is an error."""
+        if not rows.join(sources, ["tenant_id", "source_id"], "left_anti").isEmpty():
+            raise ValueError("a row belongs to another source or tenant")
+        touched = self._tenants(sources)
+        number, versions = self._manifest()
+        old = self._read({t: v for t, v in versions.items() if t in touched})
+        own = ["tenant_id", "source_id"]
+        lost = orphans(old.join(sources, own, "left_semi"), rows, self.keys).groupBy(*own).agg(F.count("*").alias("lost"))
+        lost = materialise(sources.distinct().join(lost, own, "left").select(*own, F.coalesce("lost", F.lit(0)).alias("lost")), "lost")
+        fresh = rows.dropDuplicates(self.keys).select(*self.schema.fieldNames())
+        rest = old.join(sources, own, "left_anti").join(fresh.select(*self.keys), self.keys, "left_anti")
+        self._commit(number, versions, rest.unionByName(fresh), touched)
+        return lost
+
     def vacuum(self) -> int:
         """Delete the files of versions that the newest manifest doesn't name; how many versions went. No reader may be at work."""
         fs, kept = self._fs(), set(self._manifest()[1].values())
@@ -265,6 +282,11 @@ class PassageStore(KeyedTable):
         self._index([tenant_id])
         return lost
 
+    def replace_sources(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
+        lost = super().replace_sources(rows, sources)
+        self._index(self._tenants(sources))
+        return lost
+
     def delete_where(self, tenant_id: str, **values) -> int:
         n = super().delete_where(tenant_id, **values)
         if n:

@@ -194,7 +194,7 @@ def test_stream_replays_to_the_same_rows(spark, tmp_path):
     def event(p, kind, payload):
         return (p, "t", "s", 1, kind, payload)
     log = [event(1, "extracted", '{"model":"m","entities":[{"id":"a","name":"A","entity_type":"x"},{"id":"b","name":"B","entity_type":"x"},{"id":"c","name":"C","entity_type":"x"}],"edges":[{"id":"e","src":"b","dst":"c","type":"k"}]}'),
-           event(2, "extracted", '{"model":"m","entities":[{"id":"z","name":"Z","entity_type":"x"}],"edges":[]}'), event(3, "merged", '{"event_id":"m1","canonical":"a","absorbed":["b"]}'),
+           event(2, "extracted", '{"model":"m","entities":[{"id":"z","name":"Z","entity_type":"x"}],"edges":[]}'), event(3, "merged", '{"event_id":"m1","canonical":"a","absorbed":["b"],"redirections":[{"before":{"id":"e","src":"b","dst":"c","type":"k"},"after":{"id":"e","src":"a","dst":"c","type":"k"}}]}'),
            event(4, "merged", '{"event_id":"m2","canonical":"a","absorbed":["c"]}'), event(5, "undone", '{"event_id":"m2"}')]
     frame = spark.createDataFrame(log, events.LOG)
     frame.unionByName(frame.limit(1)).write.json(str(tmp_path / "in"))
