@@ -40,7 +40,7 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("tenant_id"), F.col("vec_id").alias("id"), F.concat(F.lit("label_"), "label").alias("entity_type"), "embedding")
 
 
-# --- passages -----------------------------------------------------------------------------------------------------------
+# --- passages
 
 _BM25 = f"""
 d AS (SELECT doc_id AS id, {_TOKENS} AS words FROM documents), s AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d),
@@ -86,9 +86,12 @@ def document_stream_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.document_stream(F.lit(_DNS), F.col("doc_id").cast("string")).alias("stream_id"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-  '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL]', 'g'), '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '[PHONE]', 'g'),
-  '\b\d{3}-?\d{2}-?\d{4}\b', '[REDACTED]', 'g'), '\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b', '[REDACTED]', 'g') AS text FROM documents""")
+_REDACTED = "text"
+for _pattern, _mark in text.REDACTIONS:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{_mark}', 'g')"
+
+
+@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents")
 def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
 
@@ -112,7 +115,7 @@ def chunking_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunking_digest(chunkers.chunks(_sources(spark, sf_dir)))
 
 
-# --- vectors and fusion -------------------------------------------------------------------------------------------------
+# --- vectors and fusion
 
 _KNN = "SELECT vec_id AS id, {cos} AS score FROM embeddings"
 
@@ -155,7 +158,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("id", F.round("score", 8).alias("score"))
 
 
-# --- graph --------------------------------------------------------------------------------------------------------------
+# --- graph
 
 
 @query(f"WITH {ENTITY_SQL} SELECT id, name FROM v_entity WHERE entity_type = 'customer' AND id > 'c100' ORDER BY id LIMIT 50")
@@ -248,7 +251,7 @@ def type_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domains.validate_edges(typed, domains.type_table(spark, domains.validate(_VOCABULARY))).select("id", "problem")
 
 
-# --- resolution ---------------------------------------------------------------------------------------------------------
+# --- resolution
 
 
 
@@ -409,7 +412,7 @@ def redirect_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.plan_redirections(edges(spark, sf_dir), merged)
 
 
-# --- versions and claims ------------------------------------------------------------------------------------------------
+# --- versions and claims
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
@@ -442,7 +445,7 @@ def replace_source_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.orphans(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("lang = 'en'"), ["doc_id"])
 
 
-# --- time ---------------------------------------------------------------------------------------------------------------
+# --- time
 
 
 def _extents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,7 +503,7 @@ def parse_date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), e.alias("e")).select("id", stamp(F.col("e.start_date")).alias("start"), stamp(F.col("e.end_date")).alias("end"), "e.precision", "e.uncertainty")
 
 
-# --- structured data ----------------------------------------------------------------------------------------------------
+# --- structured data
 
 
 @query("""SELECT type, name, external_ids FROM (SELECT 'person' AS type, c_name AS name, '{"schema_org_id": "c' || c_custkey || '"}' AS external_ids FROM customer
@@ -532,7 +535,7 @@ def page_structured_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structured.page_entities(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), stated))).select("page_id", "type", "name", "method")
 
 
-# --- evaluation, limits, log --------------------------------------------------------------------------------------------
+# --- evaluation, limits, log
 
 
 @query("""WITH e AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), a AS (SELECT DISTINCT doc_id FROM documents WHERE n_chars > 500)

@@ -12,7 +12,7 @@ from loomgraph.plans.registry import STAMP, query, stamp
 from loomgraph.sources import domains
 from loomgraph.sources.tables import EDGE_SQL, ENTITY_SQL, TENANT, edges, entities, table
 
-# --- ids ----------------------------------------------------------------------------------------------------------------
+# --- ids
 
 
 def uuid5_sql(namespace: str, name: str, as_: str) -> str:
@@ -42,7 +42,7 @@ def alias_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", ids.alias_id(F.lit(TENANT), own).alias("alias_id"), ids.consolidation_stream(F.lit(TENANT)).alias("stream"))
 
 
-# --- text ---------------------------------------------------------------------------------------------------------------
+# --- text
 
 _ODD = "'  ' || p_brand || ' - ' || p_type || '__' || CASE WHEN p_partkey % 3 = 0 THEN '!' ELSE '' END || ' '"
 
@@ -89,7 +89,7 @@ def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", v.alias("v")).select("p_partkey", F.round(F.col("v")[0].cast("double"), 5).alias("first"), F.round(F.col("v")[47].cast("double"), 5).alias("last"))
 
 
-# --- versions -----------------------------------------------------------------------------------------------------------
+# --- versions
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
@@ -113,7 +113,7 @@ def preferred_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.best_version(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], order, "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey")
 
 
-# --- time ---------------------------------------------------------------------------------------------------------------
+# --- time
 
 _MONTHS = "CASE month(o_orderdate) " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(temporal.FULL_MONTHS, 1)) + " END"
 
@@ -184,7 +184,7 @@ def timeline_of_a_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.timeline(_extents(spark, sf_dir).join(kinds, "id"), asked, "F").select("id")
 
 
-# --- calls --------------------------------------------------------------------------------------------------------------
+# --- calls
 
 
 @query("SELECT event_id, least(60.0, 0.5 * pow(2.0, event_id % 12)) AS seconds FROM events")
@@ -200,7 +200,7 @@ def expiring_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.expiring_counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("tenant"), "ts", "event_id"), 7200)
 
 
-# --- domains ------------------------------------------------------------------------------------------------------------
+# --- domains
 
 _YAML = """
 domain_id: {0}
@@ -255,7 +255,7 @@ def domain_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("\n", domains.system_prompt(_schemas()["harbours"]))], "nothing string, prompt string")
 
 
-# --- themes -------------------------------------------------------------------------------------------------------------
+# --- themes
 
 _NATION_OF = "g AS (SELECT src AS id, dst AS community FROM v_edge WHERE type = 'located_in')"
 _DEGREES = "d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM v_edge UNION ALL SELECT dst FROM v_edge) GROUP BY id)"

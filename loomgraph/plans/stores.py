@@ -127,7 +127,7 @@ def blocking_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.find_by_keys(asked, _graph(spark, sf_dir).entities.read(TENANT))
 
 
-# --- vectors ------------------------------------------------------------------------------------------------------------
+# --- vectors
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def vector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.vector_problems(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), bad.cast("array<float>").alias("embedding")), 64)
 
 
-# --- passages -----------------------------------------------------------------------------------------------------------
+# --- passages
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
