@@ -14,7 +14,7 @@ Alignment: edit distance over words in a band as wide as the similarity allows (
 Similarity = 1 - distance / words of the longer text. Groups are the connected components of the aligned pairs.
 
 Rows: equal texts are one node and always a group, empty ones too; a NULL text is a duplicate of nothing and stays; texts
-without words match only equal texts; of a group the row with the smallest doc_id stays (NULL first; of repeated
+without words match only equal texts; very long texts are sketched and aligned whole; of a group the row with the smallest doc_id stays (NULL first; of repeated
 rows one); an empty table gives no groups; further columns pass through.
 """
 
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import materialise
+from loomgraph.llm.common import discard, materialise, remembered
 
 WORDS, SKETCHES, SIMILARITY, SEED = 3, 48, 0.8, 41
 #: Words of the longest text that is keyed without each of its words (it differs by one word from any as similar as 0.8), and of
@@ -46,7 +46,6 @@ _word = re.compile(r"[^\W_]+")
 _U = np.uint64
 #: Distinct words that a worker remembers.
 REMEMBERED = 200_000
-_known: dict[str, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,14 +56,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_ids(text: str) -> np.ndarray:
     """A 64-bit hash of each word."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    get = _known.get
+    known = remembered("neardup.words")
+    if len(known) > REMEMBERED:
+        known.clear()
+    get = known.get
     out = []
     for w in _word.findall(text.lower()):
         k = get(w)
         if k is None:
-            k = _known[w] = xxhash.xxh3_64_intdigest(w)
+            k = known[w] = xxhash.xxh3_64_intdigest(w)
         out.append(k)
     return np.array(out, dtype=_U)
 
@@ -219,12 +219,23 @@ def similar(a: list[int], b: list[int], least: float = SIMILARITY) -> float | No
     return None if d is None else 1 - d / longer
 
 
-def _sketches(text: Column, least: float) -> Column:
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([sketch(x.as_py(), least) for x in column], pa.list_(pa.int64()))
+def _sketches(least: float):
+    """Arrow batches of (a, b, text) to (a, b, key). Copies of a text inside one task give keys once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
-    return run(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keys, counts = [], []
+            for x, y, text in zip(a, b, batch.column("text")):
+                own = [] if (x, y) in seen else sketch(text.as_py(), least)
+                seen.add((x, y))
+                keys += own
+                counts.append(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=np.int64), counts)) for c in (a, b)] + [pa.array(keys, pa.int64())], schema=schema)
+
+    return run
 
 
 def _sequence(text: Column) -> Column:
@@ -356,19 +367,35 @@ def _crossing(buckets: DataFrame, labels: DataFrame, sequences: DataFrame, least
     return pairs.join(tried, ["leader", "node"], "left_anti")
 
 
+def buckets_of(texts: DataFrame, least: float) -> DataFrame:
+    """key, node, leader of the keys that two or more texts have; the leader is the smallest node. texts: node, text.
+
+    Which keys those are comes from the smallest and the greatest of each key, which combine before the shuffle, as the leader does
+    among the members that are left: no bucket is gathered in one task.
+    """
+    keyed = texts.select("node.a", "node.b", "text").mapInArrow(_sketches(least), "a long, b long, key long")
+    members = materialise(keyed, "sketches")
+    shared = members.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low <> high").select("key")
+    met = materialise(members.join(shared, "key", "left_semi").select("key", F.struct("a", "b").alias("node")).distinct(), "bucket-members")
+    discard(members)
+    leaders = met.groupBy("key").agg(F.min("node").alias("leader"))
+    buckets = materialise(met.join(leaders, "key"), "buckets")
+    discard(met)
+    return buckets
+
+
 def similar_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs of nodes (leader, node, similarity) that connect the groups."""
     texts = docs.filter("text is not null").select(node(F.col("text")).alias("node"), "text")
-    members = texts.select("node", F.explode(_sketches(F.col("text"), least)).alias("key")).repartition("key").distinct()
-    bucket = Window.partitionBy("key")
-    buckets = materialise(members.select("key", "node", F.min("node").over(bucket).alias("leader"), F.count("*").over(bucket).alias("n")).filter("n > 1").drop("n"), "buckets")
+    buckets = buckets_of(texts, least)
     candidates = buckets.select("node").distinct()
     sequences = texts.join(candidates.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sequences = sequences.select("node", _sequence(F.col("text")).alias("words")).select("node", "words", _bag(F.col("words")).alias("bag"))
     sequences = materialise(sequences, "word-sequences")
     first = materialise(_verified(buckets.filter("node <> leader").select("leader", "node").distinct(), sequences, least), "aligned")
-
-    second = materialise(_verified(_crossing(buckets, components(first), sequences, least), sequences, least), "aligned-crossing")
+    labels = components(first)
+    second = materialise(_verified(_crossing(buckets, labels, sequences, least), sequences, least), "aligned-crossing")
+    discard(buckets, sequences, labels)
     return first.unionByName(second)
 
 
@@ -384,31 +411,46 @@ def components(edges: DataFrame) -> DataFrame:
         around = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("near"))
         near = labels.join(around, labels["node"] == around["u"]).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("on"), F.col("component").alias("above"))
-        new = materialise(near.join(up, near["component"] == up["on"], "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component")), "labels")
-        if new.filter("was <> component").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+        new = near.join(up, near["component"] == up["on"], "left").select("node", "was", F.least("component", F.coalesce("above", "component")).alias("component"))
+        new = materialise(new.select("node", "component", (F.col("was") != F.col("component")).alias("moved")), "labels")
+        discard(labels)
+        labels = new
+        if new.filter("moved").isEmpty():
+            discard(both)
+            return new
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """node, doc_id, row: the rows with a text, numbered. Written without the texts, so a row keeps its number."""
+    return materialise(docs.filter("text is not null").select("doc_id", node(F.col("text")).alias("node"), F.monotonically_increasing_id().alias("row")), "places")
+
+
+def _grouped(places: DataFrame, labels: DataFrame) -> DataFrame:
+    return places.join(labels.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+_ORDER = ("doc_id", "node", "row")
 
 
 def groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, group_id (the doc_id that stays), keep: every row of the groups of two or more rows."""
-    joined = components(similar_nodes(docs, least))
-    rows = docs.filter("text is not null").select("doc_id", node(F.col("text")).alias("node"))
-    rows = rows.join(joined, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
-    group = Window.partitionBy("component")
-    first = group.orderBy(F.col("doc_id").asc_nulls_first(), "node")
-    ranked = rows.select("doc_id", F.first("doc_id").over(first).alias("group_id"), (F.row_number().over(first) == 1).alias("keep"), F.count("*").over(group).alias("n"))
-    return ranked.filter("n > 1").drop("n")
+    """doc_id, group_id (the doc_id that stays), keep: every row of the groups of two or more rows. A group's smallest row and size
+    combine before the shuffle, so a group may hold any share of the rows."""
+    rows = _grouped(_places(docs), components(similar_nodes(docs, least)))
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), *_ORDER)
+    best = rows.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(best, "component").select("doc_id", F.col("best.doc_id").alias("group_id"), (F.col("row") == F.col("best.row")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group. The texts are shuffled once, by their node."""
-    joined = components(similar_nodes(docs, least))
-    rows = docs.filter("text is not null").select("doc_id", node(F.col("text")).alias("node"))
-    smallest = rows.join(joined, "node").groupBy("component", "node").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("id"))
-    kept = smallest.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best")).select(F.col("best.node").alias("node"))
-    dropped = materialise(joined.select("node").join(kept, "node", "left_anti"), "dropped")
+    """``docs`` with one row of each group. The texts are shuffled once, by their node and doc_id; none is sorted or gathered by group."""
+    labels, places = components(similar_nodes(docs, least)), _places(docs)
+    counted = _grouped(places.groupBy("node", "doc_id").agg(F.count("*").alias("n")), labels)
+    best = counted.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node", "n")).alias("best"))
+    kept = materialise(best.select("best.node", F.col("best.doc_id").alias("kept_id"), "best.n"), "kept")
+    discard(labels, places)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    texts = docs.filter("text is not null").select(row, node(F.col("text")).alias("node")).join(dropped.hint("shuffle_hash"), "node", "left_anti")
-    once = texts.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.col("row.doc_id").asc_nulls_first()))).filter("nth = 1")
+    texts = docs.filter("text is not null").select(row, node(F.col("text")).alias("own node")).join(kept.hint("shuffle_hash"), (F.col("own node") == F.col("node")) & F.col("row.doc_id").eqNullSafe(F.col("kept_id")))
+    once = texts.filter("n = 1").select("row")
+    if not kept.filter("n > 1").isEmpty():  # repeated rows: the first that is met
+        once = once.unionByName(texts.filter("n > 1").groupBy("node").agg(F.first("row").alias("row")).select("row"))
     return once.select("row.*").unionByName(docs.filter("text is null"))
