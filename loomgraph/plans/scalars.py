@@ -192,7 +192,7 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", calls.delay(F.col("event_id") % 12, base=0.5).alias("seconds"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id AS tenant, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), s AS (
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id AS tenant, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), s AS (
   SELECT tenant, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS until FROM o WHERE rn = 1
   UNION ALL SELECT o.tenant, o.event_id, o.rn, CASE WHEN s.n > 0 AND o.t < s.until THEN s.n + 1 ELSE 1 END, CASE WHEN s.n > 0 AND o.t < s.until THEN s.until ELSE o.t + 7200000000 END FROM s JOIN o ON o.tenant = s.tenant AND o.rn = s.rn + 1)
 SELECT tenant, event_id, n FROM s WHERE rn > 0""")

@@ -38,10 +38,10 @@ def admissions(hits: DataFrame, limit: int, seconds: int = WINDOW_S) -> DataFram
     """tenant, event_id, admitted, retry_after. Depends on order: a tenant's times (not its rows) are one group."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        gate = Admission(limit, seconds)
+        gate = Admission(limit, seconds * 1_000_000)  # whole microseconds, so no sum is rounded
         frame = frame.sort_values(["t", "event_id"])
-        said = [gate(t / 1e6) for t in frame["t"].tolist()]
-        return pd.DataFrame({"tenant": frame["tenant"], "event_id": frame["event_id"], "admitted": [a for a, _ in said], "retry_after": [r for _, r in said]}).astype({"retry_after": "float64"})
+        said = [gate(t) for t in frame["t"].tolist()]
+        return pd.DataFrame({"tenant": frame["tenant"], "event_id": frame["event_id"], "admitted": [a for a, _ in said], "retry_after": [None if r is None else r / 1e6 for _, r in said]}).astype({"retry_after": "float64"})
 
     kind = dict(hits.dtypes)
     return hits.select("tenant", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).groupBy("tenant").applyInPandas(run, f"tenant {kind['tenant']}, event_id {kind['event_id']}, admitted boolean, retry_after double")
