@@ -66,8 +66,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, tokens, fragments, round_trip."""
-    encoded = docs.select("doc_id", "source", bpe.encode(F.col("text")).alias("e"))
-    return encoded.select("doc_id", "source", "e.tokens", "e.fragments", "e.round_trip")
+    return bpe.encode_documents(docs, keep=("doc_id", "source"))
 
 
 STAGES: list[tuple[str, Stage]] = [

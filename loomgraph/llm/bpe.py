@@ -14,13 +14,16 @@ from __future__ import annotations
 
 import base64
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import in_parts, remembered
+from loomgraph.llm.common import in_parts, parts, release, remembered
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -156,28 +159,30 @@ def encoder(path: str) -> Encoder:
     return known[path]
 
 
+_KIND = pa.struct([("tokens", pa.list_(pa.int32())), ("fragments", pa.int32()), ("round_trip", pa.bool_())])
+
+
+def _encoded(column: pa.Array, vocabulary: str) -> pa.StructArray:
+    done = encoder(vocabulary).texts(column.to_pylist())
+    offsets = np.cumsum([0, *(0 if x is None else len(x[0]) for x in done)])
+    ids = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in done if x is not None)])
+    return pa.StructArray.from_arrays(
+        [
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
+            pa.array([None if x is None else x[1] for x in done], pa.int32()),
+            pa.array([None if x is None else x[2] for x in done], pa.bool_()),
+        ],
+        fields=list(_KIND),
+        mask=pa.array([x is None for x in done], pa.bool_()),
+    )
+
+
 def encode(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     """struct(tokens, fragments, round_trip) of a text; NULL of NULL. ``vocabulary`` must be readable on every worker."""
 
-    kind = pa.struct([("tokens", pa.list_(pa.int32())), ("fragments", pa.int32()), ("round_trip", pa.bool_())])
-
-    def part(column: pa.Array) -> pa.Array:
-        done = encoder(vocabulary).texts(column.to_pylist())
-        offsets = np.cumsum([0, *(0 if x is None else len(x[0]) for x in done)])
-        ids = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in done if x is not None)])
-        return pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
-                pa.array([None if x is None else x[1] for x in done], pa.int32()),
-                pa.array([None if x is None else x[2] for x in done], pa.bool_()),
-            ],
-            fields=list(kind),
-            mask=pa.array([x is None for x in done], pa.bool_()),
-        )
-
     @F.arrow_udf(ENCODED)
     def run(column: pa.Array) -> pa.Array:
-        return in_parts(column, part, kind)
+        return in_parts(column, lambda part: _encoded(part, vocabulary), _KIND)
 
     return run(text)
 
@@ -193,6 +198,24 @@ def decode(tokens: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     return run(tokens)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """doc_id, tokens, fragments, round_trip of every row of ``docs``, in one pass without a shuffle."""
-    return docs.select("doc_id", encode(F.col("text"), vocabulary).alias("e")).select("doc_id", "e.tokens", "e.fragments", "e.round_trip")
+def in_small_batches(vocabulary: str):
+    """Arrow batches of texts (last column) and columns to keep, to those columns and what the texts give. What goes back holds
+    one of the ``parts`` of a batch, so neither side holds the tokens of a whole batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in parts(batch.column(batch.num_columns - 1)):
+                rows = batch.slice(at.start, at.stop - at.start)
+                *kept, texts = rows.columns
+                done = _encoded(texts, vocabulary)
+                columns = [pc.if_else(done.is_valid(), x, None) for x in (done.field(k) for k in range(len(_KIND)))]
+                yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*batch.schema.names[:-1], *(f.name for f in _KIND)])
+        release()
+
+    return run
+
+
+def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, tokens, fragments and round_trip of every row of ``docs``, in one pass without a shuffle."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], "text")
+    return rows.mapInArrow(in_small_batches(vocabulary), T.StructType([*rows.schema.fields[:-1], *ENCODED.fields]))

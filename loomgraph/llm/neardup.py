@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import discard, materialise, remembered
+from loomgraph.llm.common import discard, materialise, release, remembered
 
 WORDS, SKETCHES, SIMILARITY, SEED = 3, 48, 0.8, 41
 #: Words of the longest text that is keyed without each of its words (it differs by one word from any as similar as 0.8), and of
@@ -234,6 +234,8 @@ def _sketches(least: float):
                 keys += own
                 counts.append(len(own))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(c, dtype=np.int64), counts)) for c in (a, b)] + [pa.array(keys, pa.int64())], schema=schema)
+        seen, a, b, keys, counts = set(), [], [], [], []
+        release()
 
     return run
 
@@ -241,7 +243,9 @@ def _sketches(least: float):
 def _sequence(text: Column) -> Column:
     @F.arrow_udf(T.BinaryType())
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([(word_ids(x.as_py()) >> _U(32)).astype(np.uint32).tobytes() for x in column], pa.binary())
+        done = pa.array([(word_ids(x.as_py()) >> _U(32)).astype(np.uint32).tobytes() for x in column], pa.binary())
+        release()
+        return done
 
     return run(text)
 
@@ -252,7 +256,9 @@ def _aligned(a: Column, b: Column, least: float) -> Column:
         def ids(x: bytes) -> list[int]:
             return np.frombuffer(x, dtype=np.uint32).tolist()
 
-        return pa.array([similar(ids(x), ids(y), least) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+        done = pa.array([similar(ids(x), ids(y), least) for x, y in zip(left.to_pylist(), right.to_pylist())], pa.float64())
+        release()
+        return done
 
     return run(a, b)
 

@@ -3,10 +3,11 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import bpe, maxent, mixing, pii, quality
+from loomgraph.llm import bpe, common, maxent, mixing, pii, quality
 
 # --- encoding
 
@@ -40,6 +41,27 @@ def test_encoding_rows(docs_of):
     assert bpe.encode_documents(docs_of([])).count() == 0
 
 
+def test_encoding_holds_a_part_of_a_batch_at_once(monkeypatch):
+    """Tokens go back in batches of a part each, not of as many rows as came in."""
+    monkeypatch.setattr(common, "PART_BYTES", 1000)
+    texts = pa.array([*("some words " * 9 for _ in range(200)), None, "", "x" * 5000])
+    got = list(bpe.in_small_batches(bpe.DEFAULT_VOCABULARY)(iter([pa.record_batch([pa.array(range(203)), texts], ["doc_id", "text"])])))
+    assert len(got) > 20 and all(b.column("tokens").nbytes < 2000 for b in got[:-1])
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(203)) and [r["tokens"] for r in rows] == [None if x is None else whole(x) for x in texts.to_pylist()]
+    assert rows[200]["fragments"] is None and rows[200]["round_trip"] is None
+
+
+def test_a_worker_gives_freed_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "release", lambda: given.append(1))
+    monkeypatch.setattr(common, "_remembered", {})
+    common.remembered("one")["big"] = "x"
+    common.remembered("one")
+    assert not given
+    assert common.remembered("two") == {} and given == [1]
+
+
 def test_certain_cuts_lie_in_no_token():
     e = bpe.encoder(bpe.DEFAULT_VOCABULARY)
     cut = e.cut.reshape(256, 256)
