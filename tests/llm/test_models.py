@@ -364,6 +364,19 @@ def test_maxent_blocks_and_batches(docs_of, monkeypatch):
     assert all(x.words == x.doc_id % 40 and (x.words == 0 or np.isclose(x.log_probability, -x.words * np.log(65536), rtol=1e-5)) for x in out)
 
 
+def test_maxent_is_one_model_over_all_blocks(docs_of, monkeypatch):
+    """Skips and frequent contexts have the weights of the whole corpus: many blocks score as the plain model of all examples does."""
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choice("aaaabbcdefgh") for _ in range(r.randint(5, 40)))) for i in range(150)]
+    ids, sizes = maxent.word_ids([t for _, t in rows])
+    one, two, target, text = maxent.examples(ids, sizes)
+    want = np.bincount(text, maxent.log_probabilities(one, two, target, np.ones(len(ids))))
+    monkeypatch.setattr(maxent, "BLOCK_BYTES", 400)
+    got = {x.doc_id: x.log_probability for x in maxent.score(docs_of(rows)).collect()}
+    words, pairs = maxent.frequent_in(one, two, sum(len(t) for _, t in rows) // 400 + 1)
+    assert len(words) and len(pairs) and np.allclose([got[i] for i in range(150)], want, rtol=2e-3)
+
+
 def test_maxent_rows(docs_of):
     rows = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "  "), (5, "x y " * 40_000), (None, "a")]
     got = maxent.score(docs_of(rows).selectExpr("*", "'old' AS words", "1 AS c0", "2 AS asked", "3 AS place")).collect()
