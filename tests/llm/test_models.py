@@ -1,6 +1,8 @@
 import math
 import random
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -377,6 +379,56 @@ def test_maxent_is_one_model_over_all_blocks(docs_of, monkeypatch):
     assert len(words) and len(pairs) and np.allclose([got[i] for i in range(150)], want, rtol=2e-3)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6) | st.just(2), max_size=150))
+def test_maxent_sums_of_rows(rows):
+    rows = np.array(rows, np.int32)
+    values = np.random.default_rng(len(rows)).normal(size=(len(rows), maxent.DIGITS)).astype(np.float32)
+    got, want = (np.ones((7, maxent.DIGITS), np.float32) for _ in range(2))
+    maxent._add_rows(got, rows, values)
+    np.add.at(want, rows, values)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def shared_steps(words, vocabulary):
+    """Examples of one block, what is frequent, and tables as tasks get them."""
+    r = np.random.default_rng(12)
+    one, two = (r.integers(1, vocabulary, words).astype(np.uint32) ** 2 // np.uint32(vocabulary) for _ in range(2))
+    one[::4] = two[::4] = 7
+    target = r.integers(0, 65536, words).astype(np.uint16)
+    shape = (maxent.LEVELS, maxent.SKIPS + 2 * maxent.HOT, maxent.DIGITS)
+    tables = [SimpleNamespace(value=maxent._packed(x)) for x in (np.zeros(shape, np.float32), *(r.normal(size=shape).astype(np.float32) for _ in range(2)))]
+    text = np.zeros(words, np.uint32)
+    rows = [(0, 0, np.array([1, 1], np.int32).tobytes() + maxent.pack(one, two, target, text))]
+    return rows, maxent.frequent_in(one, two, 30), tables
+
+
+def test_maxent_parts_take_their_steps_alone(monkeypatch):
+    """However many parts a block has, its rows take the same steps."""
+    rows, known, tables = shared_steps(4000, 300)
+    assert len(known[0]) and len(known[1])
+    found = []
+    for part in (1 << 15, 40):
+        monkeypatch.setattr(maxent, "PART", part)
+        sums = dict(maxent._pieces(known, tables)(iter(rows)))
+        (_, _, logs), = maxent._rate(known, tables)(iter(rows))
+        found.append((np.stack([sums[k] for k in sorted(sums)]), np.frombuffer(logs, np.float32)[1]))
+    assert np.allclose(found[0][0], found[1][0], atol=1e-3) and np.isclose(found[0][1], found[1][1], rtol=1e-5)
+
+
+def test_maxent_holds_a_part_of_a_block_at_once():
+    """A step over a block holds dense rows for a part of its contexts, not several for each."""
+    rows, known, tables = shared_steps(400_000, 40_000)
+    tracemalloc.start()
+    try:
+        for _ in maxent._pieces(known, tables)(iter(rows)):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 190 << 20
+
+
 def test_maxent_rows(docs_of):
     rows = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "  "), (5, "x y " * 40_000), (None, "a")]
     got = maxent.score(docs_of(rows).selectExpr("*", "'old' AS words", "1 AS c0", "2 AS asked", "3 AS place")).collect()
