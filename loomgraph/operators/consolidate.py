@@ -57,6 +57,27 @@ def refused(asked: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     return found.distinct()
 
 
+def require_possible(asked: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``asked``, or an error that names a merge that can't be made."""
+    bad = refused(asked, entities, aliases).first()
+    if bad:
+        raise ValueError(f"merge {bad['event_id']}: {bad['problem']}")
+    return asked
+
+
+def plan_edges(asked: DataFrame, edges: DataFrame) -> DataFrame:
+    """event_id, before, after: one row for each edge that a merge changes (``after`` NULL: it goes). A merge of a hub changes more edges
+    than one row holds, so what only needs the edges takes them from here. asked and edges as of ``plan_merges``."""
+    merged = asked.select("event_id", "canonical", F.explode("absorbed").alias("absorbed"))
+    order = merge.edge_preference(F.col("confidence"), F.coalesce("properties", F.expr(_NO_IDS)))
+    moved = merge.changed_edges(edges, merged, order, "event_id")
+
+    def edge(src: str, dst: str) -> Column:
+        return F.struct("id", F.col(src).alias("src"), F.col(dst).alias("dst"), "type", "confidence", "properties")
+
+    return moved.select(F.least("src_event_id", "dst_event_id").alias("event_id"), edge("src", "dst").alias("before"), F.when(F.col("stays"), edge("s", "d")).alias("after"))
+
+
 def plan_merges(asked: DataFrame, entities: DataFrame, edges: DataFrame, aliases: DataFrame, default: str = "prefer_canonical", overrides: Mapping[str, str] | None = None) -> DataFrame:
     """event_id, canonical, absorbed, redirections, resolution of each asked merge: the payload of a ``merged`` event.
 
@@ -64,24 +85,12 @@ def plan_merges(asked: DataFrame, entities: DataFrame, edges: DataFrame, aliases
     observed_at, confidence; edges: id, src, dst, type, confidence, properties. A merge that can't be made is an error;
     absorbed ids without an entity are left out of the field plan.
     """
-    bad = refused(asked, entities, aliases).first()
-    if bad:
-        raise ValueError(f"merge {bad['event_id']}: {bad['problem']}")
+    require_possible(asked, entities, aliases)
     pairs = asked.select("event_id", "canonical", F.posexplode("absorbed").alias("nth", "id"))
     members = pairs.select("event_id", "id", (F.col("nth") + 1).alias("ordinal")).unionByName(asked.select("event_id", F.col("canonical").alias("id"), F.lit(0).alias("ordinal")))
     full = members.join(entities, "id").select(F.col("event_id").alias("group_id"), "ordinal", "id", "description", "external_ids", "properties", "observed_at", "confidence")
     fields = plan_fields(full, default, overrides)
-    merged = pairs.select(F.col("id").alias("absorbed"), "canonical")
-    order = merge.edge_preference(F.col("confidence"), F.coalesce("properties", F.expr(_NO_IDS)))
-    moved = merge.plan_redirections(edges, merged, order).join(edges.select("id", "confidence", "properties"), "id")
-
-    def edge(side: str) -> Column:
-        made = F.struct("id", F.col(f"{side}_src").alias("src"), F.col(f"{side}_dst").alias("dst"), "type", "confidence", "properties")
-        return F.when(F.col(f"{side}_src").isNotNull(), made).alias(side)
-
-    group = members.select("id", "event_id")
-    ends = moved.select("id", F.explode(F.array("before_src", "before_dst")).alias("end")).join(group.withColumnRenamed("id", "end"), "end").groupBy("id").agg(F.min("event_id").alias("event_id"))
-    redirections = moved.join(ends, "id").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(edge("before"), edge("after"))), lambda x, y: F.when(x["before"]["id"] < y["before"]["id"], -1).otherwise(1)).alias("redirections"))
+    redirections = plan_edges(asked, edges).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("before", "after")), lambda x, y: F.when(x["before"]["id"] < y["before"]["id"], -1).otherwise(1)).alias("redirections"))
     resolution = fields.join(asked.select(F.col("event_id").alias("group_id"), "canonical"), "group_id").select(F.col("group_id").alias("event_id"), F.struct(F.col("canonical").alias("entity_id"), "before", "after").alias("resolution"))
     return asked.join(redirections, "event_id", "left").join(resolution, "event_id", "left").select("event_id", "canonical", "absorbed", "redirections", "resolution")
 
@@ -96,3 +105,11 @@ def report(merged: DataFrame) -> DataFrame:
     """event_id, canonical, n_absorbed, n_redirected, n_removed of each merge."""
     moved = F.coalesce("redirections", F.expr("array()"))
     return merged.select("event_id", "canonical", F.size("absorbed").alias("n_absorbed"), F.size(F.filter(moved, lambda r: r["after"].isNotNull())).alias("n_redirected"), F.size(F.filter(moved, lambda r: r["after"].isNull())).alias("n_removed"))
+
+
+def tally(asked: DataFrame, planned: DataFrame) -> DataFrame:
+    """The rows of ``report`` from the edges of ``plan_edges``, which are counted and not gathered."""
+    gone = F.col("after").isNull()
+    counts = planned.groupBy("event_id").agg(F.count_if(~gone).alias("moved"), F.count_if(gone).alias("gone"))
+    told = asked.join(counts, "event_id", "left")
+    return told.select("event_id", "canonical", F.size("absorbed").alias("n_absorbed"), *[F.coalesce(c, F.lit(0)).cast("int").alias(n) for c, n in (("moved", "n_redirected"), ("gone", "n_removed"))])
