@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import consolidate
+from loomgraph.functions import similarity
+from loomgraph.operators import consolidate, resolve
 
 EDGE = "id string, src string, dst string, type string, confidence double, properties map<string,string>"
 MEMBER = "id string, description string, external_ids map<string,string>, properties map<string,array<string>>, observed_at timestamp, confidence double"
@@ -26,3 +27,38 @@ def test_edges_of_a_merge_are_rows(spark):
     key = lambda r: (r.before.id, r.before.dst, r.after and r.after.dst)
     assert sorted(map(key, flat.collect())) == [key(r) for r in whole.first().redirections]
     assert consolidate.tally(asked, flat).collect() == consolidate.report(whole).collect()
+
+
+def test_names_compared_at_once():
+    rng = random.Random(3)
+    some = lambda: ["".join(rng.choice("abcé ") for _ in range(rng.randrange(24))) for _ in range(60)]
+    a, b = [*some(), "x" * 70 + "ab", "é" * 64], [*some(), "x" * 71, "é" * 63 + "f"]
+    assert similarity.jaro_winkler_matrix(a, b).tolist() == [[similarity.jaro_winkler_of(x, y) for y in b] for x in a]
+    sets = lambda: [np.array(rng.sample(range(30), rng.randrange(9)), np.int64) for _ in range(12)]
+    x, y = sets(), sets()
+    assert similarity.shared_counts(x, y, 4).tolist() == [[len(set(p) & set(q)) for q in y] for p in x]
+
+
+NAMED = "tenant_id string, id string, name string, entity_type string, blocking_keys array<string>"
+
+
+def named_rows(n):
+    rng = random.Random(5)
+    names = [" ".join(rng.choice(["red", "blue", "ring", "Ring", "bolt", "nut"]) for _ in range(rng.randint(1, 3))) for _ in range(n)]
+    return [("t", f"{'pq'[k % 2]}{k:03d}", x, "thing", [f"p:{x[:2]}", *(["t:thing"] if k % 3 else [])]) for k, x in enumerate(names)]
+
+
+def test_pairs_come_once_and_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "PART", 16)
+    monkeypatch.setattr(resolve, "SLICE", 5)
+    rows = named_rows(70)
+    named = spark.createDataFrame(rows, NAMED)
+    around = spark.createDataFrame([(r[1], sorted({f"n{k % 4}", f"m{k % 7}"})) for k, r in enumerate(rows) if k % 5], "id string, names array<string>")
+    near = spark.createDataFrame([("t", rows[k][1], rows[k + 2][1], k / 100) for k in range(60)], "tenant_id string, a string, b string, embedding double")
+    found = resolve.compared_pairs(named, ("name", "embedding", "graph"), around, near)
+    got = sorted(map(tuple, found.collect()), key=lambda r: r[:3])
+    pairs = [("t", x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and set(x[4]) & set(y[4])]
+    want = resolve.features(spark.createDataFrame(pairs, "tenant_id string, a string, b string"), named, around, near).select("tenant_id", "a", "b", "name", "embedding", "graph")
+    assert got == sorted(map(tuple, want.collect()), key=lambda r: r[:3])
+    assert sorted(map(tuple, resolve.blocked_pairs(named).collect())) == sorted(pairs)
+    assert "Distinct" not in (plan := plan_of(found)) and plan.index("FlatMapGroupsInArrow") < plan.index("Join")
