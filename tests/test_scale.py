@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from loomgraph.functions import similarity
 from loomgraph.operators import consolidate, resolve
 
@@ -62,3 +63,19 @@ def test_pairs_come_once_and_are_not_shuffled(spark, monkeypatch):
     assert got == sorted(map(tuple, want.collect()), key=lambda r: r[:3])
     assert sorted(map(tuple, resolve.blocked_pairs(named).collect())) == sorted(pairs)
     assert "Distinct" not in (plan := plan_of(found)) and plan.index("FlatMapGroupsInArrow") < plan.index("Join")
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8, 0.95])
+def test_consolidation_by_rounds_is_the_ordered_pass(spark, monkeypatch, least):
+    monkeypatch.setattr(resolve, "PART", 16)
+    monkeypatch.setattr(resolve, "LEADERS", 9)
+    named = spark.createDataFrame(named_rows(60), NAMED)
+    confirm = lambda s: s.filter(F.col("score") >= least).select("tenant_id", "a", "b", "score")
+    pairs = confirm(resolve.scored(resolve.features(resolve.blocked_pairs(named), named)))
+    want = {x[:2] for x in resolve.fold_pass([tuple(x) for x in pairs.select("a", "b", "score").collect()])}
+    rounds = resolve.consolidate(named, confirm)
+    assert want and {(x.canonical, x.absorbed) for x in rounds.collect()} == want
+
+
+def test_every_entity_is_consolidated():
+    assert "entity_type <> 'customer'" not in __spark_entry__.oracle_sql()["consolidation_pass"]
