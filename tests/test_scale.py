@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomgraph.functions import similarity
-from loomgraph.operators import consolidate, resolve
+from loomgraph.operators import consolidate, extraction, resolve
 
 EDGE = "id string, src string, dst string, type string, confidence double, properties map<string,string>"
 MEMBER = "id string, description string, external_ids map<string,string>, properties map<string,array<string>>, observed_at timestamp, confidence double"
@@ -79,3 +79,10 @@ def test_consolidation_by_rounds_is_the_ordered_pass(spark, monkeypatch, least):
 
 def test_every_entity_is_consolidated():
     assert "entity_type <> 'customer'" not in __spark_entry__.oracle_sql()["consolidation_pass"]
+
+
+def test_texts_that_redaction_shortens_are_asked_about(spark):
+    text = "A bcmiagkc.41@mail7.example.com the blereen blehe the."
+    docs = spark.createDataFrame([(1, text), (2, "x" * 49 + " "), (3, None)], "doc_id long, text string")
+    said = {r.doc_id: r.domain for r in extraction.classify(docs, lambda t: ("a", 1.0), ["a"]).collect()}
+    assert said == {1: "a", 2: "general", 3: "general"}
