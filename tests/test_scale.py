@@ -1,6 +1,7 @@
 """Steps that must not gather, pair or repeat what grows with the input."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomgraph.functions import similarity
-from loomgraph.operators import consolidate, extraction, resolve
+from loomgraph.operators import communities, consolidate, extraction, graph, resolve
 
 EDGE = "id string, src string, dst string, type string, confidence double, properties map<string,string>"
 MEMBER = "id string, description string, external_ids map<string,string>, properties map<string,array<string>>, observed_at timestamp, confidence double"
@@ -86,3 +87,33 @@ def test_texts_that_redaction_shortens_are_asked_about(spark):
     docs = spark.createDataFrame([(1, text), (2, "x" * 49 + " "), (3, None)], "doc_id long, text string")
     said = {r.doc_id: r.domain for r in extraction.classify(docs, lambda t: ("a", 1.0), ["a"]).collect()}
     assert said == {1: "a", 2: "general", 3: "general"}
+
+
+def test_documents_with_carryover_share_a_task(spark):
+    told = lambda text: {"entities": [{"name": text, "entity_type": "x", "description": None, "confidence": 0.5, "temporal_expression": None, "properties": {}}], "relationships": []}
+    chunks = spark.createDataFrame([("t", f"d{k % 3}", k // 3, f"{k}") for k in range(12)], "tenant_id string, source_id string, chunk_index int, text string")
+    answered = extraction.answers(chunks, told, carryover=2)
+    assert "FlatMapGroups" not in plan_of(answered)
+    got = {(r.source_id, r.chunk_index): r.entities[0]["name"] for r in answered.collect()}
+    assert len(got) == 12 and got["d2", 0] == "2" and got["d2", 1].endswith("\n5") and '"2"' in got["d2", 1] and '"1"' not in got["d2", 1]
+
+
+def test_frontiers_meet_edges_as_they_are(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("c", "d"), ("a", "a")], "src string, dst string")
+    found = graph.neighbors(edges, spark.createDataFrame([("a",)], "id string"), 2)
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 1), ("a", "c", 2)]
+    once = plan_of(graph.neighbors(edges, spark.createDataFrame([("a",)], "id string"), 1))
+    assert not re.search(r"Aggregate \[src", once)
+
+
+def test_communities_of_any_graph_stay(spark):
+    rng = random.Random(2)
+    nodes = [f"n{k:02d}" for k in range(40)]
+    for weights in ([1.0], [0.5, 1.0, 2.0]):
+        links = [(rng.choice(nodes), rng.choice(nodes), rng.choice(weights)) for _ in range(90)]
+        frame = spark.createDataFrame([("t", *x) for x in links] + [("u", "n01", "n00", 1.0)], "tenant_id string, src string, dst string, weight double")
+        of = spark.createDataFrame([(t, n) for t in "tu" for n in nodes], "tenant_id string, id string")
+        got = {(r.tenant_id, r.id): r.community for r in communities.communities(of, frame).collect()}
+        want = communities.detect(nodes, links)
+        assert {n: got["t", n] for n in nodes} == want and got["u", "n01"] == "n00" and got["u", "n02"] == "n02"
+    assert "FlatMapGroupsInPandas" not in plan_of(communities.communities(of, frame))
