@@ -18,6 +18,20 @@ def term_table(chunks: DataFrame, *, exact: bool = False) -> DataFrame:
     return chunks.select("tenant_id", "id", F.explode(tokens(F.col("text"), exact=exact)).alias("term")).groupBy("tenant_id", "id", "term").agg(F.count("*").alias("tf"))
 
 
+def index_rows(chunks: DataFrame, *, exact: bool = False) -> DataFrame:
+    """tenant_id, id, term, tf, doc_length of every passage, which comes in one row: its terms are counted as runs of its sorted tokens, so nothing
+    is shuffled."""
+
+    def runs(words: Column) -> Column:
+        begins = F.filter(F.transform(words, lambda x, i: F.when((i == 0) | (x != F.get(words, i - 1)), i)), lambda i: i.isNotNull())
+        length = F.size(words)
+        # each array is bound to a variable, or it would be made anew for every element
+        return F.flatten(F.transform(F.array(begins), lambda at: F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("term"), (F.coalesce(F.get(at, k + 1), length) - i).cast("long").alias("tf"), length.alias("doc_length")))))
+
+    words = F.array(F.array_sort(tokens(F.col("text"), exact=exact)))
+    return chunks.filter("text is not null").select("tenant_id", "id", F.inline(F.flatten(F.transform(words, runs))))
+
+
 def lengths(chunks: DataFrame, *, exact: bool = False) -> DataFrame:
     """tenant_id, id, doc_length."""
     return chunks.select("tenant_id", "id", F.size(tokens(F.col("text"), exact=exact)).alias("doc_length"))

@@ -105,14 +105,15 @@ class KeyedTable:
     def _tenants(rows: DataFrame) -> list[str]:
         return [r[0] for r in rows.select("tenant_id").distinct().collect()]
 
-    def upsert(self, rows: DataFrame, ordinal: str | None = None) -> None:
-        """Later rows replace earlier ones, in the table and (by ``ordinal``) within the batch."""
+    def upsert(self, rows: DataFrame, ordinal: str | None = None) -> list[str]:
+        """Later rows replace earlier ones, in the table and (by ``ordinal``) within the batch. The tenants that were written."""
         fresh = last_write(rows, self.keys, ordinal) if ordinal else rows.dropDuplicates(self.keys)
         fresh = fresh.select(*self.schema.fieldNames())
         touched = self._tenants(rows)
         number, versions = self._manifest()
-        old = self._read({t: v for t, v in versions.items() if t in touched})
-        self._commit(number, versions, old.join(fresh.select(*self.keys), self.keys, "left_anti").unionByName(fresh), touched)
+        held = {t: v for t, v in versions.items() if t in touched}
+        self._commit(number, versions, self._read(held).join(fresh.select(*self.keys), self.keys, "left_anti").unionByName(fresh) if held else fresh, touched)
+        return touched
 
     def delete(self, keys: DataFrame) -> int:
         """How many of the keys existed."""
@@ -262,20 +263,17 @@ class PassageStore(KeyedTable):
 
     def _index(self, tenants: list[str]) -> int:
         passages = self._read({t: v for t, v in self._manifest()[1].items() if t in tenants})
-        lengths = lexical.lengths(passages)
-        terms = lexical.term_table(passages).join(lengths, ["tenant_id", "id"])
-        for table, rows in ((self.terms, terms), (self.lengths, lengths)):
+        for table, rows in ((self.terms, lexical.index_rows(passages)), (self.lengths, lexical.lengths(passages))):
             number, versions = table._manifest()
             table._commit(number, versions, rows, tenants)
-        return lengths.count()
+        return passages.count()
 
     def upsert_many(self, rows: DataFrame) -> None:
         if self.dimension is not None:
             bad = vector_problems(rows, self.dimension).first()
             if bad:
                 raise ValueError(f"passage {bad['id']}: {bad['problem']}")
-        self.upsert(rows)
-        self._index(self._tenants(rows))
+        self._index(self.upsert(rows))
 
     def replace_source(self, tenant_id: str, source_id: str, rows: DataFrame) -> int:
         lost = super().replace_source(tenant_id, source_id, rows)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomgraph.functions import similarity
-from loomgraph.operators import communities, consolidate, extraction, graph, resolve
+from loomgraph.operators import communities, consolidate, extraction, graph, lexical, resolve
 
 EDGE = "id string, src string, dst string, type string, confidence double, properties map<string,string>"
 MEMBER = "id string, description string, external_ids map<string,string>, properties map<string,array<string>>, observed_at timestamp, confidence double"
@@ -117,3 +117,12 @@ def test_communities_of_any_graph_stay(spark):
         want = communities.detect(nodes, links)
         assert {n: got["t", n] for n in nodes} == want and got["u", "n01"] == "n00" and got["u", "n02"] == "n02"
     assert "FlatMapGroupsInPandas" not in plan_of(communities.communities(of, frame))
+
+
+def test_index_rows_are_those_of_the_term_table(spark):
+    texts = ["b a b the", "", None, "the of", "Straße strasse x1 x1 x1", " ".join(f"w{k % 7}" for k in range(500))]
+    rows = spark.createDataFrame([("t", str(k), x) for k, x in enumerate(texts)], "tenant_id string, id string, text string")
+    made = lexical.index_rows(rows)
+    want = lexical.term_table(rows).join(lexical.lengths(rows), ["tenant_id", "id"]).select("tenant_id", "id", "term", "tf", "doc_length")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect())) and made.dtypes == want.dtypes
+    assert "Aggregate" not in plan_of(made) and "Join" not in plan_of(made)
